@@ -17,8 +17,8 @@ def ring_edges(rings: Column) -> Column:
         return F.zip_with(
             ring,
             following,
-            lambda a, b: F.struct(
-                a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
+            lambda a, b: F.named_struct(
+                F.lit("x1"), a["x"], F.lit("y1"), a["y"], F.lit("x2"), b["x"], F.lit("y2"), b["y"]
             ),
         )
 

@@ -42,7 +42,7 @@ def exclude_values(df: DataFrame, exclusions: Mapping[str, Sequence]) -> DataFra
 def exclude_listed(df: DataFrame, key: str, listed: DataFrame | Sequence) -> DataFrame:
     """Rows whose key is not in a literal list (pushed to the scan) or not in a table (anti join)."""
     if isinstance(listed, DataFrame):
-        return df.join(listed.select(key).distinct(), key, "left_anti")
+        return df.join(listed.select(key).distinct(), key, "left_anti").select(*df.columns)
     return df.where(~F.col(key).isin(sorted(set(listed))))
 
 

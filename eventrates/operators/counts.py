@@ -118,4 +118,5 @@ def missing_in_periods(df: DataFrame, area: str, period: str, periods: Sequence)
 
 def in_every_period(df: DataFrame, area: str, period: str, periods: Sequence) -> DataFrame:
     """Keep the areas that occur in all listed periods."""
-    return df.join(missing_in_periods(df, area, period, periods).select(area).distinct(), area, "left_anti")
+    absent = missing_in_periods(df, area, period, periods).select(area).distinct()
+    return df.join(absent, area, "left_anti").select(*df.columns)

@@ -167,7 +167,7 @@ def polygons_touching(
     )
     same_cell = (F.col(CELL_X) == F.col("__ox")) & (F.col(CELL_Y) == F.col("__oy"))
     hit = left.join(right, same_cell & meet, "left_semi").select(*keys).distinct()
-    return polygons.join(hit, list(keys), "left_semi")
+    return polygons.join(hit, list(keys), "left_semi").select(*polygons.columns)
 
 
 def gather_points(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "points") -> DataFrame:
