@@ -154,11 +154,28 @@ def _refine(summary: _Summary, k: int) -> None:
         else:
             run[:3] += row[:3]
             run[4] = row[4]
-    parts = max(2, BINS // int(splittable.sum()))
-    summary.pending = [(row[3], row[4], parts) for row in bins[splittable]]
+    summary.pending = _ranges(bins, splittable)
     summary.bins = np.array(kept).reshape(-1, 6)
 
 
+def _ranges(bins: np.ndarray, splittable: np.ndarray) -> list[tuple[float, float, int]]:
+    """Ranges to count anew. Neighbouring bins share one as long as each is still cut at least in two."""
+    share = max(2, BINS // int(splittable.sum()))
+    ranges: list[tuple[float, float, int]] = []
+    size, least = 0, np.inf
+    for i in np.flatnonzero(splittable):
+        low, high = bins[i, 3], bins[i, 4]
+        if size and splittable[i - 1]:
+            finest = min(least, high - low)
+            if (high - ranges[-1][0]) / (share * (size + 1)) <= finest / 2:
+                size, least = size + 1, finest
+                ranges[-1] = (ranges[-1][0], high, share * size)
+                continue
+        size, least = 1, high - low
+        ranges.append((low, high, share))
+    return ranges
+
+
 def natural_breaks(df: DataFrame, columns: Sequence[str], k: int | dict[str, int] = 5) -> DataFrame:
     """Classes of each column with least total squared deviation from class means.
 

@@ -35,8 +35,8 @@ def areas_in_city(
 ) -> DataFrame:
     """Area-periods with geometry that touch the boundary and are not on the deny list."""
     keys = [k for k in ("YEAR", "GEOID") if k in areas.columns]
-    located = attach_areas(demographics, areas, keys)
-    return exclude_listed(polygons_touching(located, boundary.select("rings"), ("YEAR", "GEOID")), "GEOID", outside)
+    touching = polygons_touching(areas, boundary.select("rings"), keys)
+    return attach_areas(demographics, exclude_listed(touching, "GEOID", outside), keys)
 
 
 def area_counts(
@@ -72,10 +72,10 @@ def area_rates(
 ) -> DataFrame:
     """Demographics, counts and rates of every area and year, as one table keyed by ``YEAR``.
 
-    ``every_period`` drops areas without events in some of the years. The counts are stored once, since the
-    period-wide denominators and the reconciliation read them again.
+    ``every_period`` drops areas without events in some of the years. Areas and counts, one row per area and year,
+    are each stored once, since the spatial index, the period-wide denominators and the reconciliation read them again.
     """
-    city = areas_in_city(demographics.where(F.col("YEAR").isin(list(years))), areas, boundary, outside)
+    city = materialize(areas_in_city(demographics.where(F.col("YEAR").isin(list(years))), areas, boundary, outside))
     counts = materialize(area_counts(events, city, boundary, labels, years))
     if every_period:
         counts = in_every_period(counts, "NAME", "YEAR", years)

@@ -48,6 +48,13 @@ def compare(spark, connection, sf_dir, query, sql):
         return f"columns {sorted(df.columns)} != {sorted(names)}", len(got)
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}", len(got)
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    same |= {"date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+    relation = connection.sql(sql)
+    kinds = dict(zip(relation.columns, map(str, relation.types)))
+    off = {n: (t, kinds[n]) for n, t in df.dtypes if same.get(t) != kinds[n]}
+    if off:
+        return f"types differ: {off}", len(got)
     bad = [(g, w) for g, w in zip(got, want) if g != w]
     if bad:
         return f"{len(bad)} of {len(got)} rows differ, first:\n  {bad[0][0]}\n  {bad[0][1]}", len(got)
