@@ -10,6 +10,7 @@ from eventrates.functions import fixed_values as fixed
 from eventrates.operators.classify import classified_long, top_n_ties
 from eventrates.operators.describe import mean_ci
 from eventrates.operators.natural_breaks import natural_breaks
+from eventrates.session import materialize
 from eventrates.sources.writers import write_by_measure
 
 
@@ -21,7 +22,11 @@ def rate_report(
     classes: int = 5,
     se_mode: str = "n",
 ) -> dict[str, DataFrame]:
-    """Means with intervals, top areas per described rate, natural breaks, and the class of every rate."""
+    """Means with intervals, top areas per described rate, natural breaks, and the class of every rate.
+
+    The rates are stored once, because the break search reads them several times.
+    """
+    rates = materialize(rates.select("YEAR", "NAME", *dict.fromkeys([*described, *breaks])))
     tables = {
         "means": mean_ci(rates, list(described), se_mode),
         "natural_breaks": natural_breaks(rates, list(breaks), classes),
