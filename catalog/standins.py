@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventrates.functions import fixed_values as fixed
+from eventrates.session import apply_settings
 
 YEARS = [2017, 2018, 2019]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return apply_settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _mod(column: str, n: int) -> Column:

@@ -77,14 +77,15 @@ def parse_utc(column: Column | str, layouts: Sequence[str] = TIMESTAMP_LAYOUTS)
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout)) for layout in layouts])
 
 
-def flag(condition: Column, yes=1, no=0) -> Column:
-    """``yes``/``no`` by condition, missing where the condition is missing."""
-    return F.when(condition, F.lit(yes)).when(~condition, F.lit(no))
+def flag(condition: Column) -> Column:
+    """1 or 0 by condition, missing where the condition is missing."""
+    return condition.cast("int")
 
 
 def any_flag(columns: Sequence[Column | str], yes: str = "YES", no: str = "NO") -> Column:
     """``yes`` if any column equals ``yes``, by three-valued OR."""
-    return flag(reduce(lambda a, b: a | b, [_col(c) == yes for c in columns]), yes, no)
+    hit = reduce(lambda a, b: a | b, [_col(c) == yes for c in columns])
+    return F.when(hit, F.lit(yes)).when(~hit, F.lit(no))
 
 
 def decimal_hour(timestamp: Column | str) -> Column:

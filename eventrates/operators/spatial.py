@@ -19,6 +19,7 @@ from eventrates.session import BROADCAST_LIMIT_BYTES, broadcast_if_small
 CELL_X, CELL_Y, EDGES, WHOLE = "__cx", "__cy", "__edges", "__whole"
 GEOMETRY = ("rings", "minx", "miny", "maxx", "maxy")
 SALT, SALTS = "__salt", 32
+INDEX_CELLS = 2_000_000
 
 
 def add_bbox(polygons: DataFrame, rings: str = "rings") -> DataFrame:
@@ -38,11 +39,18 @@ def add_bbox(polygons: DataFrame, rings: str = "rings") -> DataFrame:
     )
 
 
-def suggest_cell(polygons: DataFrame, parts: int = 4) -> float:
-    """Cell side for which an average polygon spans about ``parts`` cells a side (one small aggregate)."""
+def suggest_cell(polygons: DataFrame, cells: int = INDEX_CELLS) -> float:
+    """Cell side that gives the index about ``cells`` rows, from one small aggregate over the polygons.
+
+    Small cells pay: most are then wholly inside a polygon and need no test, and the rest hold few edges. An average
+    polygon spans 4 to 32 cells a side.
+    """
     boxed = polygons if "minx" in polygons.columns else add_bbox(polygons)
-    side = boxed.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
-    return side / parts if side else 1.0
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    count, side = boxed.agg(F.count(extent), F.avg(extent)).first()
+    if not side:
+        return 1.0
+    return side / min(32, max(4, int((cells / count) ** 0.5)))
 
 
 def _cells(low: str, high: str, cell: float) -> Column:

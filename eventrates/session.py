@@ -12,20 +12,29 @@ from pyspark.storagelevel import StorageLevel
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
 
-def build_session(app_name: str = "eventrates", **conf: str) -> SparkSession:
-    """A session with the settings the library expects: UTC wall clock, ANSI errors, adaptive plans.
-
-    The master, memory and shuffle settings are left to spark-submit or ``conf``.
-    """
-    builder = (
-        SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-    )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+# Settings the library expects. Generated methods above 8000 bytes of bytecode are never compiled by the JVM and then
+# run many times slower, so such stages are left to the per-operator code, which is split into small methods.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Put the expected settings on a running session; all of them can be changed at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def build_session(app_name: str = "eventrates", conf: dict[str, str] | None = None) -> SparkSession:
+    """A session with the expected settings. Master, memory and shuffle settings come from spark-submit or ``conf``."""
+    builder = SparkSession.builder.appName(app_name)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    return apply_settings(builder.getOrCreate())
 
 
 def materialize(df: DataFrame) -> DataFrame:
