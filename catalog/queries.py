@@ -212,9 +212,9 @@ def melt_share(spark, sf_dir):
 
 @query
 def fill_share(spark, sf_dir):
-    table_counts = describe.share_table(raw_events(spark, sf_dir), "personSearch", ["race"])
-    shown = clean.exclude_values(table_counts, {"personSearch": [""]})
-    return rounded(describe.fill_share(shown, "value").drop("freq"))
+    searched = clean.exclude_values(raw_events(spark, sf_dir), {"personSearch": [""]})
+    long = describe.melt(searched, ["race"], ["personSearch"])
+    return rounded(describe.fill_share(describe.group_count(long, ["personSearch", "variable", "value"]), "value"))
 
 
 @query
@@ -418,8 +418,8 @@ def in_every_period(spark, sf_dir):
 
 @query
 def pooled_years(spark, sf_dir):
-    by_year = [_order_rates(spark, sf_dir).where(F.col("YEAR") == y).select("YEAR", "NAME", "NStopsTotal") for y in (1996, 1997, 1998)]
-    return reduce(lambda a, b: a.unionByName(b), by_year)
+    rated = _order_rates(spark, sf_dir).select("YEAR", "NAME", "NStopsTotal")
+    return reduce(lambda a, b: a.unionByName(b), [rated.where(F.col("YEAR") == y) for y in (1996, 1997, 1998)])
 
 
 # Classes and ranking

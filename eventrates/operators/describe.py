@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventrates.functions.columns import is_number, safe_ratio
-from eventrates.session import levels_of
+from eventrates.session import levels_of, materialize
 
 
 def group_total(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
@@ -42,7 +42,8 @@ def frequency(df: DataFrame, column: str, out: str = "n") -> DataFrame:
 
 def percent_of_total(df: DataFrame, column: str, out: str = "pct") -> DataFrame:
     """Percent of all rows by level; rows with a missing level count in the denominator only."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    # The counts, one row per level, are stored so that levels and total come from one scan of the rows.
+    counts = materialize(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
     return (
         counts.withColumn(out, F.col("n") / counts.agg(F.sum("n")).scalar() * 100)
         .where(F.col(column).isNotNull())
@@ -110,9 +111,14 @@ def outcome_rate(
 
 
 def melt(df: DataFrame, measures: Sequence[str], ids: Sequence[str] = (), name: str = "variable", value: str = "value"):
-    """Wide to long; only the id columns given are carried, so the scan stays narrow."""
-    kept = df.select(*ids, *[F.col(m).cast("string").alias(m) for m in measures])
-    return kept.unpivot(list(ids), list(measures), name, value)
+    """Wide to long; only the id columns given are carried, so the scan stays narrow.
+
+    Written with ``inline``, whose exchanges can be reused when counts and totals are taken from the same long form.
+    """
+    parts = [
+        F.named_struct(F.lit(name), F.lit(m), F.lit(value), F.col(m).cast("string")) for m in measures
+    ]
+    return df.select(*ids, F.inline(F.array(*parts)))
 
 
 def share_table(df: DataFrame, group: str, measures: Sequence[str], count: str = "n", share: str = "freq") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventrates.functions.columns import is_number, safe_ratio
 from eventrates.operators.clean import at_least
 from eventrates.operators.describe import group_total
+from eventrates.session import materialize
 
 
 @dataclass(frozen=True)
@@ -59,12 +60,13 @@ def add_rates(
 ) -> DataFrame:
     """Add every rate of the families, each ``count / population * scale``.
 
-    Period-wide totals sum the areas present in ``df`` (those with events), missing and NaN left out.
+    Period-wide totals sum the areas present in ``df`` (those with events), missing and NaN left out. ``df``, one row
+    per area and period, is stored first when there are such totals, so that the events behind it are counted once.
     """
     wide = sorted({c for f in families if f.period_wide for c in f.populations.values()})
     if wide:
         df = group_total(
-            df, [period], {_period_total(c): F.sum(F.when(is_number(c), F.col(c).cast("double"))) for c in wide}
+            materialize(df), [period], {_period_total(c): F.sum(F.when(is_number(c), F.col(c).cast("double"))) for c in wide}
         )
     rates: dict[str, Column] = {}
     for family in families:

@@ -72,13 +72,13 @@ def area_rates(
 ) -> DataFrame:
     """Demographics, counts and rates of every area and year, as one table keyed by ``YEAR``.
 
-    ``every_period`` drops areas without events in some of the years. Areas and counts, one row per area and year,
-    are each stored once, since the spatial index, the period-wide denominators and the reconciliation read them again.
+    ``every_period`` drops areas without events in some of the years. The areas, and the counts if they are to be
+    reconciled, are stored once, since the spatial index and the reconciliation read them again.
     """
     city = materialize(areas_in_city(demographics.where(F.col("YEAR").isin(list(years))), areas, boundary, outside))
-    counts = materialize(area_counts(events, city, boundary, labels, years))
+    counts = area_counts(events, city, boundary, labels, years)
     if every_period:
-        counts = in_every_period(counts, "NAME", "YEAR", years)
+        counts = in_every_period(materialize(counts), "NAME", "YEAR", years)
     joined = join_counts(city, counts, ["YEAR", "NAME"])
     return add_rates(joined, standard_rate_families(), "YEAR", mode)
 
