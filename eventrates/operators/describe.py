@@ -61,6 +61,7 @@ def crosstab(df: DataFrame, row: str, column: str, levels: Sequence | None = Non
     """Two-way table in wide form, one column per level (named by the level), zero for empty cells."""
     counts = crosstab_long(df, row, column)
     if levels is None:
+        counts = materialize(counts)
         levels = levels_of(counts, column)
     return counts.groupBy(row).pivot(column, list(levels)).agg(F.sum("n")).fillna(0, [str(v) for v in levels]).orderBy(row)
 
@@ -82,6 +83,8 @@ def agreement(
     if mode == "label":
         same = F.col(a) == F.col(b)
     elif mode == "positional":
+        if levels is None:
+            counts = materialize(counts)
         paired = counts.where(F.col(a).isNotNull() & F.col(b).isNotNull())
         a_levels, b_levels = levels or (levels_of(paired, a), levels_of(paired, b))
         position_a = F.array_position(F.array(*[F.lit(v) for v in a_levels]), F.col(a))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventrates.functions.columns import is_number, with_levels
-from eventrates.session import levels_of
+from eventrates.session import levels_of_each
 
 INTERCEPT = "(intercept)"
 
@@ -54,7 +54,9 @@ class BinaryModel:
     def resolve(self, df: DataFrame) -> BinaryModel:
         """Fill in level lists and learn which covariates are boolean."""
         used = [*self.covariates, *self.period_interactions, *([self.period] if self.period else [])]
-        levels = {c: list(v) if v is not None else levels_of(df, c) for c, v in self.levels.items() if c in used}
+        levels = {c: list(v) if v is not None else None for c, v in self.levels.items() if c in used}
+        open_ = [c for c, v in levels.items() if v is None]
+        levels |= levels_of_each(df, open_) if open_ else {}
         booleans = {c for c in used if c not in levels and isinstance(df.schema[c].dataType, T.BooleanType)}
         return replace(self, levels=levels, booleans=frozenset(booleans))
 

@@ -69,13 +69,27 @@ def broadcast_if_small(
     return df, False
 
 
-def levels_of(df: DataFrame, column: str, max_levels: int = 10_000) -> list:
-    """Sorted distinct non-missing values of a category column.
+def levels_of_each(df: DataFrame, columns: list[str], max_levels: int = 10_000) -> dict[str, list]:
+    """Sorted distinct non-missing values of category columns, from one pass over the data.
 
-    Like ``pivot`` without a value list, this refuses a column with more than ``max_levels`` values instead of
-    pulling an unbounded set to the driver.
+    Like ``pivot`` without a value list, this refuses columns with more than ``max_levels`` values instead of pulling
+    an unbounded set to the driver.
     """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} distinct values; pass its levels explicitly")
-    return sorted(row[0] for row in rows)
+    found: dict[str, list] = {c: [] for c in columns}
+    parts = [
+        F.named_struct(F.lit("c"), F.lit(c), *[x for d in columns for x in (F.lit(d), F.col(d) if d == c else F.lit(None).cast(df.schema[d].dataType))])
+        for c in columns
+    ]
+    filled = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+    rows = df.select(F.inline(F.array(*parts))).where(filled).distinct().limit(max_levels * len(columns) + 1).collect()
+    for row in rows:
+        found[row["c"]].append(row[row["c"]])
+    for c, values in found.items():
+        if len(values) > max_levels or len(rows) > max_levels * len(columns):
+            raise ValueError(f"{c} may have more than {max_levels} distinct values; pass its levels explicitly")
+    return {c: sorted(values) for c, values in found.items()}
+
+
+def levels_of(df: DataFrame, column: str, max_levels: int = 10_000) -> list:
+    """Sorted distinct non-missing values of one category column."""
+    return levels_of_each(df, [column], max_levels)[column]
