@@ -343,7 +343,7 @@ JOIN {name}_{k} d ON d.i = {k} AND d.j = {k})
     return sql + f", {name} AS (SELECT i, j - {p} AS j, v FROM {name}_{p} WHERE j >= {p})\n"
 
 
-def _one_step(terms: dict[str, str], pattern: list[str]) -> str:
+def _one_step(terms: dict[str, str], pattern: list[str], trial: str = f"WITH trial AS ({TRIAL})") -> str:
     """One-step estimating equations for a saturated model (one term per category combination).
 
     The starting fit is the mean of each combination; its coefficients solve X b = logit(mean), with X one row per
@@ -376,7 +376,7 @@ def _one_step(terms: dict[str, str], pattern: list[str]) -> str:
 """
 
     sql = f"""
-WITH trial AS ({TRIAL})
+{trial}
 , cellmean AS (SELECT {keys}, ln(avg(y) / (1 - avg(y))) AS eta, row_number() OVER (ORDER BY {keys}) - 1 AS cell FROM trial GROUP BY {keys})
 , x AS ({xs})
 , xm AS (SELECT b.cell AS i, a.i AS j, 1e0 AS v FROM x a JOIN cellmean b ON {on}
@@ -592,6 +592,21 @@ FROM term JOIN step USING (i) JOIN cov ON cov.i = term.i AND cov.j = term.i WHER
           JOIN cov va ON va.i = pair.i AND va.j = pair.i JOIN cov vb ON vb.i = pair.j AND vb.j = pair.j JOIN cov vc ON vc.i = pair.i AND vc.j = pair.j)
 SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * s), 6) AS lower, round(exp(b + {Z} * s), 6) AS upper FROM val"""
 
+    races = fixed.MODEL_LEVELS[1:]
+    battery_terms = {"(intercept)": "true"} | {f"raceRecode[{v}]": f"race = '{v}'" for v in races} | {"postPeriod": "post"}
+    battery_terms |= {f"postPeriod:raceRecode[{v}]": f"post AND race = '{v}'" for v in races}
+    for outcome in ("personSearch", "vehicleSearch"):
+        trial = f"""{CLEAN}
+, trial AS (SELECT neighborhood AS cluster, CASE {outcome} WHEN 'YES' THEN 1e0 ELSE 0e0 END AS y, raceRecode AS race,
+                   CAST(tm AS DATE) > DATE '2018-06-15' AS post FROM clean WHERE personSearch <> '' AND vehicleSearch <> '')"""
+        sql[f"gee_battery_{outcome}"] = _one_step(battery_terms, ["race", "post"], trial) + f"""
+, pair AS (SELECT a.i, b.i AS j, a.term || ' + ' || b.term AS term FROM term a JOIN term b ON b.term = 'postPeriod:' || a.term)
+, val AS (SELECT pair.term, sa.b + sb.b AS b, sqrt(va.v + vb.v + 2 * vc.v) AS s FROM pair JOIN step sa ON sa.i = pair.i JOIN step sb ON sb.i = pair.j
+          JOIN cov va ON va.i = pair.i AND va.j = pair.i JOIN cov vb ON vb.i = pair.j AND vb.j = pair.j JOIN cov vc ON vc.i = pair.i AND vc.j = pair.j)
+SELECT 'plain_{outcome}' AS model, term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * s), 6) AS lower, round(exp(b + {Z} * s), 6) AS upper FROM val"""
+    sql["gee_battery"] = " UNION ALL ".join(f"SELECT * FROM ({sql.pop(f'gee_battery_{o}')})" for o in ("personSearch", "vehicleSearch"))
+    sql["natural_breaks_quantity"] = _natural_breaks("lineitem", "l_quantity", 5)
+
     sql["csv_round_trip"] = f"""
 WITH raw AS ({RAW})
 SELECT event_id::DOUBLE AS event_id, neighborhood, problem, gender, race, preRace, personSearch, vehicleSearch, callDisposition, reason,

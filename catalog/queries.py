@@ -461,6 +461,11 @@ def natural_breaks_balance(spark, sf_dir):
     return natural_breaks(table(spark, sf_dir, "supplier"), ["s_acctbal"], 6)
 
 
+@query
+def natural_breaks_quantity(spark, sf_dir):
+    return natural_breaks(table(spark, sf_dir, "lineitem"), ["l_quantity"], 5)
+
+
 @query
 def natural_breaks_lines(spark, sf_dir):
     return natural_breaks(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], {"l_extendedprice": 5, "l_quantity": 4})

@@ -69,22 +69,25 @@ def count_matrix(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
 
-    def cell(value: str | None, position: int, sliced: bool) -> Column:
-        of_category = F.lit(True) if value is None else F.col("__category") == value
-        in_slice = (F.col("__in").bitwiseAND(1 << position) != 0) if sliced else F.lit(True)
-        total = F.sum(F.when(of_category & in_slice, F.col("__n")).otherwise(F.lit(0).cast("long")))
-        if not strict_na:
-            return total
-        unsure_slice = (F.col("__na").bitwiseAND(1 << position) != 0) if sliced else F.lit(False)
-        unsure_category = F.lit(False) if value is None else F.col("__category").isNull()
-        unsure = (unsure_slice & (of_category | unsure_category)) | (unsure_category & in_slice)
-        return F.when(F.count_if(unsure) == 0, total)
-
-    cells = [
-        cell(value, position, condition is not None).alias(f"{prefix}{label}{suffix}")
-        for position, (suffix, condition) in enumerate(slices.items())
-        for label, value in {**labels, TOTAL: None}.items()
-    ]
+    # Conditions are built once and shared by the cells of a row or column of the matrix.
+    always, never, n, zero = F.lit(True), F.lit(False), F.col("__n"), F.lit(0).cast("long")
+    of_category = {label: F.col("__category") == value for label, value in labels.items()} | {TOTAL: always}
+    no_category = F.col("__category").isNull()
+
+    def bit(mask: str, position: int) -> Column:
+        return F.col(mask).bitwiseAND(1 << position) != 0
+
+    cells = []
+    for position, (suffix, condition) in enumerate(slices.items()):
+        in_slice = always if condition is None else bit("__in", position)
+        unsure_slice = bit("__na", position) if strict_na and condition is not None else never
+        for label, in_category in of_category.items():
+            cell = F.sum(F.when(in_category & in_slice, n).otherwise(zero))
+            if strict_na:
+                unsure_category = never if label == TOTAL else no_category
+                unsure = (unsure_slice & (in_category | unsure_category)) | (unsure_category & in_slice)
+                cell = F.when(F.count_if(unsure) == 0, cell)
+            cells.append(cell.alias(f"{prefix}{label}{suffix}"))
     return counts.groupBy(*keys).agg(*cells)
 
 
