@@ -76,14 +76,21 @@ def levels_of_each(df: DataFrame, columns: list[str], max_levels: int = 10_000)
     an unbounded set to the driver.
     """
     found: dict[str, list] = {c: [] for c in columns}
-    parts = [
-        F.named_struct(F.lit("c"), F.lit(c), *[x for d in columns for x in (F.lit(d), F.col(d) if d == c else F.lit(None).cast(df.schema[d].dataType))])
-        for c in columns
-    ]
-    filled = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
-    rows = df.select(F.inline(F.array(*parts))).where(filled).distinct().limit(max_levels * len(columns) + 1).collect()
+
+    def slots(own: str) -> list[Column]:
+        """The column's value in its own slot and NULL in the others, so that every slot keeps its type."""
+        named = []
+        for i, c in enumerate(columns):
+            named += [F.lit(f"v{i}"), F.col(c) if c == own else F.lit(None).cast(df.schema[c].dataType)]
+        return named
+
+    long = df.select(F.inline(F.array(*[F.named_struct(*slots(c)) for c in columns])))
+    filled = F.greatest(*[F.col(f"v{i}").isNotNull() for i in range(len(columns))], F.lit(False))
+    rows = long.where(filled).distinct().limit(max_levels * len(columns) + 1).collect()
     for row in rows:
-        found[row["c"]].append(row[row["c"]])
+        for i, c in enumerate(columns):
+            if row[i] is not None:
+                found[c].append(row[i])
     for c, values in found.items():
         if len(values) > max_levels or len(rows) > max_levels * len(columns):
             raise ValueError(f"{c} may have more than {max_levels} distinct values; pass its levels explicitly")
