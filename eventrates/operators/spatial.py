@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventrates.functions.geometry import contains, crosses_odd, edges_meet, ring_edges
-from eventrates.session import BROADCAST_LIMIT_BYTES, broadcast_if_small
+from eventrates.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize
 
 CELL_X, CELL_Y, EDGES, WHOLE = "__cx", "__cy", "__edges", "__whole"
 GEOMETRY = ("rings", "minx", "miny", "maxx", "maxy")
@@ -77,6 +77,9 @@ def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
     attributes = [c for c in polygons.columns if c not in GEOMETRY]
     edges = ring_edges(F.col("rings")).alias(EDGES)
     rows = boxed.select(*attributes, "minx", "maxx", edges, _cells("miny", "maxy", cell).alias(CELL_Y))
+    # Polygon files are small in bytes but each row means many cells, so bands are spread over all cores by count.
+    cores = polygons.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(cores, CELL_Y, "minx", "maxx")
     rows = rows.withColumn(EDGES, F.filter(EDGES, lambda e: _reaches(e, "y", F.col(CELL_Y), cell)))
     cells = rows.select(*attributes, CELL_Y, EDGES, _cells("minx", "maxx", cell).alias(CELL_X))
     cells = cells.withColumns(
@@ -110,12 +113,13 @@ def points_in(
     if how not in ("inner", "semi"):
         raise ValueError(f"unknown join type: {how}")
     cell = cell or suggest_cell(polygons)
-    index = polygon_cells(polygons, cell)
     if how == "semi":
-        index = index.select(*keys, CELL_X, CELL_Y, EDGES, WHOLE)
-    clash = (set(points.columns) & set(index.columns)) - set(keys)
+        polygons = polygons.select(*keys, *[c for c in GEOMETRY if c in polygons.columns])
+    clash = (set(points.columns) & set(polygons.columns)) - set(keys)
     if clash:
         raise ValueError(f"points and polygons share columns {sorted(clash)}; rename them or list them as keys")
+    # The index is stored, since it is read for its size and again for the join.
+    index = materialize(polygon_cells(polygons, cell))
     located = points.withColumns(
         {
             "__x": F.col(x).cast("double"),
@@ -156,7 +160,7 @@ def polygons_touching(
     right = polygon_cells(others, cell).select(
         F.col(CELL_X).alias("__ox"), F.col(CELL_Y).alias("__oy"), F.col(EDGES).alias("__oe"), F.col(WHOLE).alias("__ow")
     )
-    right, _ = broadcast_if_small(right, F.coalesce(F.size("__oe"), F.lit(0)) * 40 + 64)
+    right, _ = broadcast_if_small(materialize(right), F.coalesce(F.size("__oe"), F.lit(0)) * 40 + 64)
 
     def corner_inside(corners: Column, edges: Column) -> Column:
         here = F.filter(

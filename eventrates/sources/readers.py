@@ -25,18 +25,20 @@ def read_csv(
     columns: Sequence[str],
     numeric: Sequence[str] = (),
     missing: str = "NA",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Headered CSV whose columns, in file order, are all read as text and then typed.
 
     Text: a blank field is the empty string and ``NA`` is missing. Numbers: anything unparsable is missing. Header
-    names are ignored in favour of ``columns``, whose count must match the file.
+    names are ignored in favour of ``columns``, whose count must match the file. ``multi_line`` allows line breaks in
+    quoted text, at the price that a file can no longer be split over tasks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
