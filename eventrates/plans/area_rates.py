@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventrates.functions import fixed_values as fixed
-from eventrates.operators.clean import drop_suffix, exclude_listed, exclude_years, select_once
+from eventrates.operators.clean import drop_suffix, exclude_listed, exclude_values, select_once
 from eventrates.operators.counts import count_matrix, in_every_period, search_light_slices
 from eventrates.operators.demographics import attach_areas, derive_ratios, derive_totals
 from eventrates.operators.rates import add_rates, high_rate_areas, join_counts, standard_rate_families
@@ -48,10 +48,11 @@ def area_counts(
 ) -> DataFrame:
     """Conditional counts per area and year of the events inside the boundary.
 
-    Only the columns the counts need are carried through both spatial joins.
+    Only the columns the counts need are carried through both spatial joins. Years are filtered on the ``year`` column,
+    which prunes folders where the events are stored by year.
     """
     columns = ["year", "lon", "lat", "raceRecode", "veilBeforeSunset", "veilAfterSunset", "personSearch", "vehicleSearch"]
-    kept = exclude_years(events, "dateFull", fixed.EXCLUDED_YEARS).select(*columns)
+    kept = exclude_values(events, {"year": fixed.EXCLUDED_YEARS}).select(*columns)
     if years:
         kept = kept.where(F.col("year").isin(list(years)))
     inside = points_in(kept, boundary.select("rings"), "lon", "lat", how="semi").withColumnRenamed("year", "YEAR")
@@ -85,6 +86,6 @@ def area_rates(
 
 def save_area_rates(events: DataFrame, rates: DataFrame, folder: str, rate: str = "NStopsBlackRatePerStratum") -> None:
     """Write the event points, the rate table by year, and the list of very high area-years."""
-    writers.write_snapshot(exclude_years(events, "dateFull", fixed.EXCLUDED_YEARS), f"{folder}/points")
+    writers.write_snapshot(exclude_values(events, {"year": fixed.EXCLUDED_YEARS}), f"{folder}/points")
     writers.write_table(rates, f"{folder}/area_rates", ["YEAR"])
     writers.write_tsv(high_rate_areas(rates, rate), f"{folder}/very_high_areas")

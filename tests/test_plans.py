@@ -116,3 +116,16 @@ def test_counts_prune_the_scan(spark):
 
 def test_battery_names(spark):
     assert search_battery.__doc__ and search_model("vehicleSearch", True).outcome == "vehicleSearch"
+
+
+def test_year_filter_prunes_stored_events(spark, events, tmp_path):
+    from eventrates.plans.area_rates import area_counts
+    from eventrates.sources.writers import write_table
+
+    path = str(tmp_path / "events")
+    write_table(events, path, ["year"])
+    stored = spark.read.parquet(path)
+    counts = area_counts(stored, standins.areas(spark, SF), standins.boundary(spark, SF), years=[2018])
+    assert "PartitionFilters: [isnotnull(year" in plan(counts)
+    direct = area_counts(events, standins.areas(spark, SF), standins.boundary(spark, SF), years=[2018])
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, direct.collect()))
