@@ -50,7 +50,7 @@ def test_one_output_per_measure_and_year(spark, tmp_path):
 
 
 def test_tsv_has_header_and_tabs(spark, tmp_path):
-    writers.write_tsv(spark.createDataFrame([("A b", 2017)], "NAME string, YEAR int"), str(tmp_path / "t"))
+    writers.write_tsv(spark.createDataFrame([("A b", 2017)], "NAME string, YEAR int").coalesce(1), str(tmp_path / "t"))
     part = next(f for f in os.listdir(tmp_path / "t") if f.startswith("part"))
     assert (tmp_path / "t" / part).read_text() == "NAME\tYEAR\nA b\t2017\n"
 
