@@ -21,9 +21,9 @@ from catalog.standins import (
 )
 from eventrates.functions import columns as c
 from eventrates.functions import fixed_values as fixed
-from eventrates.operators import clean, counts, daylight, describe, rates, series, spatial
+from eventrates.operators import clean, counts, daylight, demographics, describe, rates, series, spatial
 from eventrates.operators.classify import classified_long, fixed_breaks, top_n_ties
-from eventrates.operators.demographics import derive_ratios, derive_totals, name_variables, pivot_variables
+from eventrates.operators.demographics import derive_ratios, derive_totals, name_variables
 from eventrates.operators.design import BinaryModel, design_matrix
 from eventrates.operators.natural_breaks import natural_breaks
 from eventrates.operators.regression import (
@@ -307,19 +307,17 @@ FLAG_NAMES = {"added": "A", "none": "N", "returned": "R"}
 
 @query
 def pivot_variables(spark, sf_dir):
-    named = name_variables(_quantities(spark, sf_dir), FLAG_NAMES)
-    return pivot_variables_of(named)
-
+    return _wide_quantities(spark, sf_dir)
 
-def pivot_variables_of(named: DataFrame) -> DataFrame:
-    from eventrates.operators import demographics
 
+def _wide_quantities(spark, sf_dir):
+    named = name_variables(_quantities(spark, sf_dir), FLAG_NAMES)
     return demographics.pivot_variables(named, list(FLAG_NAMES), ["YEAR", "GEOID"])
 
 
 @query
 def derive_ratios_totals(spark, sf_dir):
-    wide = clean.drop_suffix(pivot_variables_of(name_variables(_quantities(spark, sf_dir), FLAG_NAMES)), "M")
+    wide = clean.drop_suffix(_wide_quantities(spark, sf_dir), "M")
     totals = derive_totals(wide, {"tot_all": ["addedE", "noneE", "returnedE"]})
     shares = {"pct_added": (["addedE"], ["tot_all"]), "pct_back": (["addedE", "returnedE"], ["tot_all"])}
     return rounded(derive_ratios(totals, shares))
@@ -328,8 +326,6 @@ def derive_ratios_totals(spark, sf_dir):
 @query
 def demographic_ratios(spark, sf_dir):
     long = name_variables(demographics_long(spark, sf_dir), fixed.VARIABLE_CODES)
-    from eventrates.operators import demographics
-
     return rounded(area_plan.derive_demographics(demographics.pivot_variables(long, list(fixed.VARIABLE_CODES))))
 
 
@@ -548,8 +544,6 @@ def gather_points(spark, sf_dir):
 
 @query
 def area_rate_pipeline(spark, sf_dir):
-    from eventrates.operators import demographics
-
     events = prep.clean_events(raw_events(spark, sf_dir))
     long = name_variables(demographics_long(spark, sf_dir), fixed.VARIABLE_CODES)
     people = area_plan.derive_demographics(demographics.pivot_variables(long, list(fixed.VARIABLE_CODES)))
