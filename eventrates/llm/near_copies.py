@@ -104,7 +104,7 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable over ``edges`` (a, b); nodes without edges do not appear.
+    """(node, root): the least node reachable over ``edges`` (a, b); roots and nodes without edges do not appear.
 
     Every turn links the larger neighbours of each node, then its smaller ones, to the least of all, until nothing
     changes. Turns start from a checkpoint; only two sums come to the driver.
