@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_copies, sharding
+from . import license_scan, mixing, near_copies, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,33 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and detections of each document."""
+    out = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("places", lambda d: d["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and verdict of each document."""
+    table = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.apply_policy(table, ("web", 2))
+    base = F.col("failures").bitwiseAND(F.lit(quality_rules.mask(("base", 1)))) != 0
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base.alias("base_failed"), "kept", "failures",
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document among 16 shards of equal row counts."""
     text = F.coalesce("text", F.lit(""))
@@ -40,5 +67,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_sharding, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op6_quality_rules, op7_sharding, op10_simhash)}
+
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": r"""
+WITH rows_ AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+cut AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM rows_),
+words AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+wins AS (
+  SELECT rid, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' '
+    || lead(w, 4) OVER o AS five FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM wins WHERE five IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY rid),
+measured AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•‣·]\s'))) AS n_bullets,
+    length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
+    length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
+    length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_capitals,
+    length(regexp_replace(t, '[^{}]+', '', 'g')) AS n_braces,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D\p{L}]*\p{L}[^\x20\x09-\x0D]*')) AS n_letter_words,
+    regexp_matches(t, '(?i)lorem ipsum') AS filler
+  FROM cut LEFT JOIN covered USING (rid)),
+bits AS (
+  SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+    + 4 * (n_words > 1000000)::BIGINT + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 16 * n_words)::BIGINT
+    + 32 * (10 * n_symbols > n_words)::BIGINT + 64 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+    + 128 * (10 * n_ellipsis > 3 * n_lines)::BIGINT + 256 * (10 * n_bullets > 9 * n_lines)::BIGINT
+    + 512 * (10 * n_letter_words < 8 * n_words)::BIGINT + 1024 * (10 * n_capitals > 6 * n_letters)::BIGINT
+    + 2048 * (10 * n_exclamations > 3 * n_words)::BIGINT + 4096 * (20 * n_braces > n_words)::BIGINT
+    + 8192 * filler::BIGINT AS failures FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
+  failures = 0 AS kept, failures FROM bits""",
+}
