@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, near_copies, quality_rules, sharding
+from . import language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
+from .splits import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out(F.col("doc_id"))))
+    told = language.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules and verdict of each document."""
     table = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,6 +69,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    told = quality_classifier.classify(docs, classifier_of(docs, labels))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def classifier_of(docs: DataFrame, labels: DataFrame) -> quality_classifier.Model | None:
+    """The quality model of the rows and labels that are not held out."""
+    open_docs = docs.where(~held_out(F.col("doc_id")))
+    positives = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select("doc_id")
+    return quality_classifier.train(open_docs, positives, labels.select("doc_id"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near copies of each document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,7 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op6_quality_rules, op7_sharding, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op6_quality_rules, op7_sharding, op9_quality_classifier, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
