@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
+from . import html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
 from .splits import held_out
 
 
@@ -43,6 +43,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules and verdict of each document."""
     table = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,7 +96,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op6_quality_rules, op7_sharding, op9_quality_classifier, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op9_quality_classifier, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
