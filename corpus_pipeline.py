@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventrates.llm import mixing, near_copies, sharding
-from eventrates.llm.storage import stored
+from eventrates.llm import decontamination, mixing, near_copies, quality_classifier, sharding
+from eventrates.llm.queries import classifier_of
+from eventrates.llm.storage import own, packed, stored, unpacked
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    read = docs.select(packed(docs, docs.columns).alias("document"), own("doc_id"), own("text"))
+    told = quality_classifier.classify(read, classifier_of(read, labels))
+    return told.where(F.col("predicted") == 1).select(*unpacked(docs.columns, "document"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, word for word or paraphrased."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources by weight takes them."""
     return mixing.mixed_rows(docs)
@@ -23,9 +38,15 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs, "doc_id", shards=16)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("quality classifier", classify),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to source weights", mix_sources),
+    ("sharding", shard),
+]
 
-# Classifier, fingerprints and permutation cannot be put in SQL.
+# Classifier, fingerprints, latent space and permutation cannot be put in SQL; tests/llm/test_pipeline.py compares by loops.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
+from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
 from .splits import held_out
 
 
@@ -74,6 +74,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the place."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "common_share", "answer_share", "first_word", "words")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document, learned from labels that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,7 +103,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op9_quality_classifier, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
