@@ -216,15 +216,18 @@ def importance(nodes: DataFrame) -> DataFrame:
     return joined.select("host", "path", "pages", value.alias("importance"))
 
 
-def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
+def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
     """All rows of ``pages`` with ``text``, the main text, and ``n_chars``, its length in code points.
 
+    ``keep`` names the input columns to hand on; without the page itself the stored blocks are small.
+
     Blocks are joined in page order by two line feeds; white space inside a block is one space; character references
     are decoded. NULL or empty pages give an empty text. Rows without a URL share the host "". Hosts with fewer than
     ``LEAST_PAGES`` pages are judged by tags, classes and roles alone. Repeated pages count as pages of their host.
     Input columns of the two names are replaced. An empty table gives an empty table.
     """
-    columns = carried(pages, ["text", "n_chars"])
+    added = ["text", "n_chars"]
+    columns = carried(pages, added) if keep is None else [c for c in keep if c not in added]
 
     @F.pandas_udf(PARSED)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -248,13 +251,16 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame
     nodes = read.select("at", "host", F.inline("parsed.nodes"))
     low = importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     low = stored(low.select("host", "path"))
-    hit = nodes.select("at", "host", "path").join(broadcast_below(low, low.count(), 250_000), ["host", "path"])
-    removed = hit.groupBy("at").agg(F.collect_set("path").alias("removed"))  # paths of one page
-    joined = read.join(removed.withColumnRenamed("at", "of"), F.col("at") == F.col("of"), "left")
-    kept = F.filter(
-        "parsed.blocks",
-        lambda b: F.col("removed").isNull() | ~F.arrays_overlap(b["marks"], F.coalesce("removed", F.array().cast("array<bigint>"))),
-    )
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    out = joined.select("row", text.alias("text"))
+    paths = low.count()
+    blocks = F.col("parsed.blocks")
+    if paths:
+        hit = nodes.select("at", "host", "path").join(broadcast_below(low, paths, 250_000), ["host", "path"])
+        removed = stored(hit.groupBy("at").agg(F.collect_set("path").alias("removed")))  # paths of one page
+        removed = broadcast_below(removed.withColumnRenamed("at", "of"), removed.count(), 100_000)
+        read = read.join(removed, F.col("at") == F.col("of"), "left")
+        blocks = F.when(F.col("removed").isNull(), blocks).otherwise(
+            F.filter(blocks, lambda b: ~F.arrays_overlap(b["marks"], F.col("removed")))
+        )
+    text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
+    out = read.select("row", text.alias("text"))
     return out.select(*unpacked(columns), "text", F.length("text").cast("long").alias("n_chars"))

@@ -45,7 +45,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
-    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    out = html_text.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", "n_chars")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
