@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding
+from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding, token_counts
 from .splits import held_out
 
 
@@ -35,6 +35,16 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document before and after scrubbing mail addresses and long numbers from it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = token_counts.with_trees(docs)
+    trees = trees.select("*", F.col("n_tokens").alias("n_before"), token_counts.scrubbing_edits(F.col("text")).alias("edits"))
+    trees = trees.withColumn("n_edits", F.size("edits").cast("long"))
+    out = token_counts.apply_edits(trees)
+    return out.select("doc_id", "n_before", "n_edits", F.col("n_tokens").alias("n_after"), "n_again")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, learned from those that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -104,7 +114,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_token_counts, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
