@@ -29,6 +29,11 @@ def is_number(column: Column | str) -> Column:
     return value.isNotNull() & ~F.isnan(value.cast("double"))
 
 
+def is_finite(column: Column | str) -> Column:
+    """True when the value is a number other than NaN and the infinities."""
+    return F.coalesce(F.abs(_col(column).cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
 def safe_ratio(numerator: Column | str, denominator: Column | str, mode: str = "null") -> Column:
     """``numerator / denominator`` without the division error of ANSI mode.
 
@@ -72,9 +77,25 @@ def strip_text(column: Column | str, literal: str) -> Column:
 
 
 def parse_utc(column: Column | str, layouts: Sequence[str] = TIMESTAMP_LAYOUTS) -> Column:
-    """Parse a date-time text written in UTC; unparsable text gives NULL and keeps its row."""
-    value = _col(column)
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout)) for layout in layouts])
+    """Parse a date-time text written in UTC; unparsable text gives NULL and keeps its row.
+
+    The result is the instant, whatever zone the session works in.
+    """
+    value = F.concat(_col(column), F.lit(" +00"))
+    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f"{layout} X")) for layout in layouts])
+
+
+def utc_clock(value: Column) -> Column:
+    """The UTC clock reading of an instant, without a zone; readings without a zone and dates are taken as they are."""
+    seconds = (F.unix_micros(value.cast("timestamp")) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    reading = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    return F.when(F.typeof(value) == "timestamp", reading).otherwise(value.cast("timestamp_ntz"))
+
+
+def utc_instant(value: Column) -> Column:
+    """The instant of a UTC clock reading without a zone; instants are taken as they are."""
+    from_reading = F.concat(value.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+    return F.when(F.typeof(value) == "timestamp", value.cast("timestamp")).otherwise(from_reading)
 
 
 def flag(condition: Column) -> Column:
@@ -89,8 +110,8 @@ def any_flag(columns: Sequence[Column | str], yes: str = "YES", no: str = "NO")
 
 
 def decimal_hour(timestamp: Column | str) -> Column:
-    """Hour plus minutes as a fraction; seconds are ignored."""
-    value = _col(timestamp)
+    """Hour plus minutes of the UTC clock as a fraction; seconds are ignored."""
+    value = utc_clock(_col(timestamp))
     return F.hour(value) + F.minute(value) / F.lit(60.0)
 
 

@@ -76,3 +76,19 @@ def edges_meet(a: Column, b: Column) -> Column:
     b_split = F.signum(_side(a, b["x1"], b["y1"])) * F.signum(_side(a, b["x2"], b["y2"])) <= 0
     a_split = F.signum(_side(b, a["x1"], a["y1"])) * F.signum(_side(b, a["x2"], a["y2"])) <= 0
     return boxes & b_split & a_split
+
+
+def meets_box(e: Column, minx: Column, miny: Column, maxx: Column, maxy: Column, slack: float = 0.0) -> Column:
+    """Closed segment against closed box: their extents overlap and the box is not all on one side of the line.
+
+    ``slack`` widens the test by that length, for callers that must not miss an edge to rounding.
+    """
+    boxes = (
+        (_low(e["x1"], e["x2"]) <= maxx + slack)
+        & (_high(e["x1"], e["x2"]) >= minx - slack)
+        & (_low(e["y1"], e["y2"]) <= maxy + slack)
+        & (_high(e["y1"], e["y2"]) >= miny - slack)
+    )
+    sides = [_side(e, x, y) for x in (minx, maxx) for y in (miny, maxy)]
+    room = (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * slack
+    return boxes & (F.least(*sides) <= room) & (F.greatest(*sides) >= -room)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventrates.functions.columns import flag
+from eventrates.functions.columns import flag, utc_clock, utc_instant
 from eventrates.functions.sun import sun_times
 
 
@@ -27,11 +27,11 @@ def add_sun_times(
     if day_mode == "local":
         if tz is None:
             raise ValueError("local days need a tz")
-        instant = F.from_utc_timestamp(instant, tz)
+        instant = F.from_utc_timestamp(utc_instant(instant), tz)
     elif day_mode != "utc":
         raise ValueError(f"unknown day mode: {day_mode}")
     times = sun_times(
-        F.to_date(instant), F.col(lat).cast("double"), F.col(lon).cast("double"), anchor_hour
+        F.to_date(utc_clock(instant)), F.col(lat).cast("double"), F.col(lon).cast("double"), anchor_hour
     )
     return df.withColumns(times._asdict())
 
@@ -41,7 +41,7 @@ def add_veil_flags(df: DataFrame, timestamp: str, before: str = "veilBeforeSunse
 
     Between sunset and dusk both flags are 0.
     """
-    instant = F.col(timestamp).cast("timestamp")
+    instant = utc_instant(F.col(timestamp))
     return df.withColumns(
         {
             before: flag((instant >= F.col("sunrise")) & (instant <= F.col("sunset"))),

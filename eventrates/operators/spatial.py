@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventrates.functions.geometry import contains, crosses_odd, edges_meet, ring_edges
+from eventrates.functions.columns import is_finite
+from eventrates.functions.geometry import contains, crosses_odd, edges_meet, meets_box, ring_edges
 from eventrates.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, materialize
 
 CELL_X, CELL_Y, EDGES, WHOLE = "__cx", "__cy", "__edges", "__whole"
@@ -71,21 +72,30 @@ def _reaches(e: Column, axis: str, index: Column, cell: float, rightward: bool =
     return above if rightward else above & (F.least(a, b) <= high)
 
 
+def _meets_cell(e: Column, cell: float, slack: float) -> Column:
+    """The edge itself, not only its extent, meets the row's cell."""
+    x, y = F.col(CELL_X) * F.lit(cell), F.col(CELL_Y) * F.lit(cell)
+    return meets_box(e, x, y, (F.col(CELL_X) + 1) * F.lit(cell), (F.col(CELL_Y) + 1) * F.lit(cell), slack)
+
+
 def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
-    """Grid index of polygons: their attributes plus cell, local edges, and whether the cell is wholly inside."""
+    """Grid index of polygons: their attributes plus cell, local edges, and whether the cell is wholly inside.
+
+    A cell belongs to a polygon when one of its edges meets the cell or the polygon covers it.
+    """
     boxed = polygons if "minx" in polygons.columns else add_bbox(polygons)
     attributes = [c for c in polygons.columns if c not in GEOMETRY]
     edges = ring_edges(F.col("rings")).alias(EDGES)
     rows = boxed.select(*attributes, "minx", "maxx", edges, _cells("miny", "maxy", cell).alias(CELL_Y))
-    # Polygon files are small in bytes but each row means many cells, so bands are spread over all cores by count.
+    # Each band keeps its own edges only, before bands are spread over all cores by count.
+    rows = rows.withColumn(EDGES, F.filter(EDGES, lambda e: _reaches(e, "y", F.col(CELL_Y), cell)))
     cores = polygons.sparkSession.sparkContext.defaultParallelism
     rows = rows.repartition(cores, CELL_Y, "minx", "maxx")
-    rows = rows.withColumn(EDGES, F.filter(EDGES, lambda e: _reaches(e, "y", F.col(CELL_Y), cell)))
     cells = rows.select(*attributes, CELL_Y, EDGES, _cells("minx", "maxx", cell).alias(CELL_X))
     cells = cells.withColumns(
         {
             EDGES: F.filter(EDGES, lambda e: _reaches(e, "x", F.col(CELL_X), cell, rightward=True)),
-            WHOLE: ~F.exists(EDGES, lambda e: _reaches(e, "x", F.col(CELL_X), cell)),
+            WHOLE: ~F.exists(EDGES, lambda e: _meets_cell(e, cell, 1e-9 * cell)),
         }
     )
     center_x, center_y = (F.col(CELL_X) + 0.5) * cell, (F.col(CELL_Y) + 0.5) * cell
@@ -93,6 +103,19 @@ def polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
     return reached.withColumn(EDGES, F.when(~F.col(WHOLE), F.col(EDGES)))
 
 
+def _row_bytes(index: DataFrame, edges: str) -> Column:
+    """Size of an index row: its edges, and its other columns as text."""
+    others = [c for c in index.columns if c != edges]
+    return F.coalesce(F.size(edges), F.lit(0)) * 40 + F.length(F.to_json(F.struct(*others))) + 64
+
+
+def _salted(many: DataFrame, few: DataFrame, name: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Spread a crowded cell: rows of ``many`` draw a salt by their place, each row of ``few`` is there for all."""
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+    few = few.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn(name, drawn), few, F.col(name) == F.col(SALT)
+
+
 def points_in(
     points: DataFrame,
     polygons: DataFrame,
@@ -120,25 +143,24 @@ def points_in(
         raise ValueError(f"points and polygons share columns {sorted(clash)}; rename them or list them as keys")
     # The index is stored, since it is read for its size and again for the join.
     index = materialize(polygon_cells(polygons, cell))
-    located = points.withColumns(
+    located = points.withColumns({"__x": F.col(x).cast("double"), "__y": F.col(y).cast("double")})
+    # A point without two finite coordinates is in no cell.
+    finite = is_finite("__x") & is_finite("__y")
+    located = located.withColumns(
         {
-            "__x": F.col(x).cast("double"),
-            "__y": F.col(y).cast("double"),
-            "__px": _cell_of(F.col(x).cast("double"), cell),
-            "__py": _cell_of(F.col(y).cast("double"), cell),
+            "__px": F.when(finite, _cell_of(F.col("__x"), cell)),
+            "__py": F.when(finite, _cell_of(F.col("__y"), cell)),
         }
     )
-    edge_count = F.coalesce(F.size(EDGES), F.lit(0))
-    index, small = broadcast_if_small(index, edge_count * 40 + 64, broadcast_limit)
+    index, small = broadcast_if_small(index, _row_bytes(index, EDGES), broadcast_limit)
 
     renamed = {k: f"__key_{k}" for k in keys}
     index = index.withColumnsRenamed(renamed)
     on = [F.col("__px") == F.col(CELL_X), F.col("__py") == F.col(CELL_Y)]
     on += [F.col(k) == F.col(new) for k, new in renamed.items()]
     if not small:
-        located = located.withColumn("__point_salt", F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)))
-        index = index.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on.append(F.col("__point_salt") == F.col(SALT))
+        located, index, same = _salted(located, index, "__point_salt")
+        on.append(same)
     on.append(F.col(WHOLE) | contains(F.col(EDGES), F.col("__x"), F.col("__y"), eps))
     joined = located.join(index, reduce(lambda a, b: a & b, on), "left_semi" if how == "semi" else "inner")
     helpers = ["__x", "__y", "__px", "__py", "__point_salt", CELL_X, CELL_Y, EDGES, WHOLE, SALT, *renamed.values()]
@@ -146,21 +168,28 @@ def points_in(
 
 
 def polygons_touching(
-    polygons: DataFrame, others: DataFrame, keys: Sequence[str] = ("YEAR", "GEOID"), cell: float | None = None
+    polygons: DataFrame,
+    others: DataFrame,
+    keys: Sequence[str] = ("YEAR", "GEOID"),
+    cell: float | None = None,
+    broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Keep polygons that share at least a point with some polygon of ``others`` (touching and containing count).
 
     ``keys`` identify a polygon.
 
     Two polygons meet exactly when an edge of one meets an edge of the other, or a corner of one lies in the other.
-    Every such witness lies in a cell both reach, so the test is made cell by cell on local edges.
+    Every such witness lies in a cell both reach, so the test is made cell by cell on the edges that meet the cell.
+    A polygon that covers a cell meets whatever else is in it. Without a broadcast, cells are salted.
     """
     cell = cell or suggest_cell(polygons)
     left = polygon_cells(polygons, cell).select(*keys, CELL_X, CELL_Y, EDGES, WHOLE)
-    right = polygon_cells(others, cell).select(
-        F.col(CELL_X).alias("__ox"), F.col(CELL_Y).alias("__oy"), F.col(EDGES).alias("__oe"), F.col(WHOLE).alias("__ow")
+    right = materialize(
+        polygon_cells(others, cell).select(
+            F.col(CELL_X).alias("__ox"), F.col(CELL_Y).alias("__oy"), F.col(EDGES).alias("__oe"), F.col(WHOLE).alias("__ow")
+        )
     )
-    right, _ = broadcast_if_small(materialize(right), F.coalesce(F.size("__oe"), F.lit(0)) * 40 + 64)
+    right, small = broadcast_if_small(right, _row_bytes(right, "__oe"), broadcast_limit)
 
     def corner_inside(corners: Column, edges: Column) -> Column:
         here = F.filter(
@@ -169,16 +198,24 @@ def polygons_touching(
         )
         return F.exists(here, lambda e: contains(edges, e["x1"], e["y1"]))
 
-    mine, theirs = F.col(EDGES), F.col("__oe")
+    def local(edges: Column) -> Column:
+        return F.filter(edges, lambda e: _meets_cell(e, cell, 0.0))
+
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    mine, theirs = F.coalesce(F.col(EDGES), none), F.coalesce(F.col("__oe"), none)
     meet = (
-        F.col(WHOLE)
-        | F.col("__ow")
-        | F.exists(mine, lambda a: F.exists(theirs, lambda b: edges_meet(a, b)))
+        (F.col(WHOLE) & F.col("__ow"))
+        | (F.col(WHOLE) & (F.size(local(theirs)) > 0))
+        | (F.col("__ow") & (F.size(local(mine)) > 0))
+        | F.exists(local(mine), lambda a: F.exists(local(theirs), lambda b: edges_meet(a, b)))
         | corner_inside(mine, theirs)
         | corner_inside(theirs, mine)
     )
-    same_cell = (F.col(CELL_X) == F.col("__ox")) & (F.col(CELL_Y) == F.col("__oy"))
-    hit = left.join(right, same_cell & meet, "left_semi").select(*keys).distinct()
+    on = (F.col(CELL_X) == F.col("__ox")) & (F.col(CELL_Y) == F.col("__oy"))
+    if not small:
+        left, right, same = _salted(left, right, "__own_salt")
+        on = on & same
+    hit = left.join(right, on & meet, "left_semi").select(*keys).distinct()
     return polygons.join(hit, list(keys), "left_semi").select(*polygons.columns)
 
 

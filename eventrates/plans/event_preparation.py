@@ -16,6 +16,7 @@ from eventrates.functions.columns import (
     parse_utc,
     recode,
     strip_text,
+    utc_clock,
 )
 from eventrates.operators.clean import exclude_values, keep_values
 from eventrates.operators.daylight import add_sun_times, add_veil_flags
@@ -42,7 +43,7 @@ def clean_events(
     )
     timed = coded.withColumn("dateFull", parse_utc("responseDate")).withColumns(
         {
-            "date": F.to_date("dateFull"),
+            "date": F.to_date(utc_clock(F.col("dateFull"))),
             "anySearch": any_flag(["personSearch", "vehicleSearch"]),
             "lon": F.col("long"),
         }
@@ -52,7 +53,7 @@ def clean_events(
         {
             "hm": decimal_hour("dateFull"),
             "interTwilight": clock_window_flag("dateFull", 17.0, 22.0),
-            "year": F.year("dateFull"),
+            "year": F.year(utc_clock(F.col("dateFull"))),
         }
     )
 

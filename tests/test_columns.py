@@ -75,3 +75,19 @@ def test_rate_names(spark):
 def test_logistic_extremes(spark):
     got = [g[0] for g in one(spark, "x double", [(0.0,), (800.0,), (-800.0,)], c.logistic("x"))]
     assert got == [0.5, 1.0, 0.0]
+
+
+def test_clock_does_not_follow_the_session_zone(spark):
+    texts = ["2018-06-21 00:30:00", "2018-03-11 02:30:00", "2018-11-04 01:15:00", "2018-11-04 06:15:00"]
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "a string").withColumn("t", c.parse_utc("a"))
+        got = df.select(
+            F.unix_seconds("t"), c.decimal_hour("t"), F.to_date(c.utc_clock(F.col("t"))), F.unix_seconds(c.utc_instant(c.utc_clock(F.col("t"))))
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for text, (seconds, hour, day, again) in zip(texts, got):
+        when = dt.datetime.fromisoformat(text).replace(tzinfo=dt.timezone.utc)
+        assert seconds == again == when.timestamp()
+        assert hour == when.hour + when.minute / 60 and day == when.date()

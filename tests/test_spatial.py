@@ -124,3 +124,54 @@ def test_gathered_points_keep_multiplicity(spark):
     df = points(spark, [(0, 0), (0, 0), (1, 1)])
     got = spatial.gather_points(df, ["YEAR"], "lon", "lat").orderBy(F.desc("n")).collect()
     assert [(r["points"]["x"], r["n"]) for r in got] == [(0.0, 2), (1.0, 1)]
+
+
+def segments(ring):
+    return list(zip(ring, ring[1:] + ring[:1]))
+
+
+def side(a, b, p):
+    return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+
+def cross(s, t):
+    (a, b), (p, q) = s, t
+    for i in (0, 1):
+        if max(a[i], b[i]) < min(p[i], q[i]) or max(p[i], q[i]) < min(a[i], b[i]):
+            return False
+    return side(a, b, p) * side(a, b, q) <= 0 and side(p, q, a) * side(p, q, b) <= 0
+
+
+def meet(r, s):
+    return any(cross(a, b) for a in segments(r) for b in segments(s)) or inside(s, *r[0]) or inside(r, *s[0])
+
+
+triangle = st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=3, max_size=3, unique=True)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(triangle, min_size=1, max_size=8), triangle, st.sampled_from([0.9, 3.0, 8.0]), st.booleans())
+def test_touching_agrees_with_all_pairs(spark, shapes, other, cell, shuffled):
+    shapes = {str(i): [[(float(x), float(y)) for x, y in t]] for i, t in enumerate(shapes)}
+    other = [(float(x), float(y)) for x, y in other]
+    boundary = spark.createDataFrame([([other],)], "rings array<array<struct<x:double,y:double>>>")
+    limit = 0 if shuffled else 1 << 28
+    got = spatial.polygons_touching(polygons(spark, shapes), boundary, cell=cell, broadcast_limit=limit)
+    assert sorted(r["GEOID"] for r in got.collect()) == sorted(k for k, v in shapes.items() if meet(v[0], other))
+
+
+@pytest.mark.parametrize("cell", [None, 0.5, 4.0, 20.0])
+def test_slanted_edge_touches_nothing_beside_it(spark, cell):
+    triangle = [(10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    boundary = spark.createDataFrame([([triangle],)], "rings array<array<struct<x:double,y:double>>>")
+    got = spatial.polygons_touching(polygons(spark, {"far": [square(0, 0)], "on": [square(4.5, 4.5)]}), boundary, cell=cell)
+    assert [r["GEOID"] for r in got.collect()] == ["on"]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 28])
+def test_points_without_finite_coordinates_match_nothing(spark, limit):
+    nan, inf = float("nan"), float("inf")
+    odd = [(nan, nan), (nan, 0.5), (0.5, inf), (-inf, 0.5), (inf, nan), (0.5, 0.5)]
+    shapes = polygons(spark, {"a": [square(-1, -1, 3)]})
+    got = spatial.points_in(points(spark, odd), shapes, "lon", "lat", "semi", keys=["YEAR"], broadcast_limit=limit)
+    assert [r["id"] for r in got.collect()] == [5]
