@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import broadcast_below, checkpointed
+
 SAMPLE_SEED = 11
 HASH_RANGE = float(1 << 63)
 
@@ -19,7 +21,8 @@ def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
 
     The fractions come from counts per group, one row each; no group is gathered.
     """
-    counts = rows.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n"))
+    counts = checkpointed(rows.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("n")))
+    counts = broadcast_below(counts, counts.count())
     mark = F.shiftrightunsigned(F.xxhash64(F.lit(SAMPLE_SEED), *[F.col(c) for c in rows.columns]), 1) / HASH_RANGE
     joined = rows.join(counts, F.col(group).eqNullSafe(F.col("of")))
     return joined.where(mark < most / F.col("n")).select(*rows.columns)
