@@ -1,11 +1,15 @@
 """Natural (least squared deviation) breaks of numeric columns, exact on data of any size.
 
-A partition of n sorted values into k classes is found without sorting or gathering the values. Rows are counted
-into a few thousand value bins (count, sum, sum of squares, extremes), and the best partition along bin borders is
-found on that summary. Cutting inside a bin can lower the squared deviation by at most
-``count * width * range`` of that bin, so a border whose best partition, less that allowance, still exceeds the best
-one found cannot be next to an optimal cut. Only bins at the remaining borders are split further, by another pass
-that reads just their value ranges. It ends when every bin that may hold a cut holds a single value.
+A partition of n sorted values into k classes is found without sorting or gathering the values. Rows are counted into
+value bins (count, sum, sum of squares, extremes), and two arguments narrow the bins in which an optimal cut can lie:
+
+* A cut inside a bin costs at least what the bins wholly between cuts cost. Where even that exceeds the best partition
+  along bin borders, no optimal cut lies.
+* In an optimal partition each cut halves the way between the means of its two classes. Moving all cuts up moves the
+  means and the midpoints up, so lower bounds of all cuts give lower bounds again, and upper bounds likewise.
+
+Only the remaining bins are counted anew, more finely, until each holds a single value. The second argument settles the
+flat surroundings of an optimum, where very many cuts cost nearly the same.
 """
 
 from __future__ import annotations
@@ -19,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventrates.functions.columns import is_number
+from eventrates.session import materialize
 
+# Bins counted for a measure in one pass, and value ranges they are dealt to at most.
 BINS = 1024
-MAX_PASSES = 40
+RANGES = 32
+# Entries of a cost table held at once.
+TABLE = 1 << 21
 BREAKS_SCHEMA = "measure string, class int, lower double, upper double, n long"
 
 
@@ -29,55 +37,47 @@ BREAKS_SCHEMA = "measure string, class int, lower double, upper double, n long"
 class _Summary:
     """Bins of one measure in value order.
 
-    Columns: count, centred sum, centred sum of squares, lowest value, highest value, and 1 while an optimal cut may
-    lie inside the bin or at its borders (0 once that is ruled out).
+    Columns: count, centred sum, centred sum of squares, lowest value, highest value, and 1 while an optimal cut may lie
+    in the bin or at its end. ``within`` holds the lowest and highest value next to which each cut can lie.
     """
 
     center: float
+    classes: int
+    bounds: tuple[float, float]
     bins: np.ndarray = field(default_factory=lambda: np.empty((0, 6)))
-    # Value ranges to be counted anew, as (low, high, number of bins), both ends inclusive.
+    within: np.ndarray | None = None
+    # Value ranges to be counted anew, as (low, high, number of bins), both ends inclusive, in order.
     pending: list[tuple[float, float, int]] = field(default_factory=list)
-    done: bool = False
     cuts: list[int] = field(default_factory=list)
 
 
 def _bin_index(value: Column, pending: Sequence[tuple[float, float, int]]) -> Column:
-    """Running number of the fine bin a value falls in; missing outside all pending ranges."""
-    start, branches = 0, None
-    for low, high, parts in pending:
-        inside = value.between(F.lit(low), F.lit(high))
-        width = (high - low) / parts
-        place = F.floor((value - F.lit(low)) / F.lit(width)) if width > 0 else F.lit(0)
-        index = F.lit(start) + F.least(place, F.lit(parts - 1))
-        branches = F.when(inside, index) if branches is None else branches.when(inside, index)
-        start += parts
-    return branches
-
-
-def _count_bins(df: DataFrame, work: dict[str, _Summary]) -> dict[str, np.ndarray]:
-    """One pass over the data for the pending ranges of all measures; a bounded number of bins comes back."""
-    parts = []
+    """Running number of the fine bin a value falls in; missing outside all ranges. Ranges are data, not branches."""
+    firsts = np.concatenate([[0], np.cumsum([p for _, _, p in pending])]).tolist()
+
+    def listed(values: Sequence) -> Column:
+        return F.array(*[F.lit(v) for v in values])
+
+    at = F.size(F.filter(listed([low for low, _, _ in pending]), lambda low: low <= value)) - 1
+    low, high = F.get(listed([r[0] for r in pending]), at), F.get(listed([r[1] for r in pending]), at)
+    parts = F.get(listed([r[2] for r in pending]), at)
+    place = F.when(high > low, F.floor((value - low) / (high - low) * parts)).otherwise(0)
+    inside = (at >= 0) & (value <= high)
+    return F.when(inside, F.get(listed(firsts), at) + F.least(place, parts - 1))
+
+
+def _count_bins(values: DataFrame, work: dict[str, _Summary]) -> dict[str, np.ndarray]:
+    """One pass over (m, v, n) for the pending ranges of all measures; a bounded number of bins comes back."""
+    index, d = F.lit(None).cast("long"), F.lit(None).cast("double")
     for name, summary in work.items():
-        value = F.col(name).cast("double")
-        index = F.when(is_number(name), _bin_index(value, summary.pending))
-        parts.append(
-            F.struct(
-                F.lit(name).alias("m"),
-                index.cast("long").alias("b"),
-                (value - F.lit(summary.center)).alias("d"),
-                value.alias("v"),
-            )
-        )
-    pending = [
-        F.col(name).cast("double").between(F.lit(low), F.lit(high))
-        for name, s in work.items()
-        for low, high, _ in s.pending
-    ]
-    wanted = df.where(reduce(lambda a, b: a | b, pending))
-    binned = wanted.select(F.inline(F.array(*parts))).where(F.col("b").isNotNull())
+        own = F.col("m") == name
+        index = F.when(own, _bin_index(F.col("v"), summary.pending)).otherwise(index)
+        d = F.when(own, F.col("v") - F.lit(summary.center)).otherwise(d)
+    binned = values.select("m", "v", "n", index.alias("b"), d.alias("d")).where(F.col("b").isNotNull())
+    n = F.col("n")
     rows = (
         binned.groupBy("m", "b")
-        .agg(F.count(F.lit(1)), F.sum("d"), F.sum(F.col("d") * F.col("d")), F.min("v"), F.max("v"))
+        .agg(F.sum(n), F.sum(n * F.col("d")), F.sum(n * F.col("d") * F.col("d")), F.min("v"), F.max("v"))
         .collect()
     )
     found: dict[str, list] = {name: [] for name in work}
@@ -86,138 +86,217 @@ def _count_bins(df: DataFrame, work: dict[str, _Summary]) -> dict[str, np.ndarra
     return {name: np.array(r, dtype=float).reshape(-1, 6) for name, r in found.items()}
 
 
-def _partition(bins: np.ndarray, k: int, allowance: np.ndarray) -> tuple[list[int], float, np.ndarray]:
-    """Best partition along bin borders, its deviation, and for each border the lower bound of any cut beside it."""
-    m = len(bins)
-    count, total, square = (np.concatenate([[0.0], np.cumsum(bins[:, i])]) for i in range(3))
+class _Costs:
+    """Squared deviations of runs of bins."""
 
-    def deviation(start: np.ndarray | int, stop: np.ndarray | int) -> np.ndarray:
-        n = count[stop] - count[start]
+    def __init__(self, bins: np.ndarray) -> None:
+        self.count, self.total, self.square = (np.concatenate([[0.0], np.cumsum(bins[:, i])]) for i in range(3))
+
+    def table(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Deviation of bins start..stop-1 for all starts (rows) and stops (columns); 0 where empty."""
+        n = self.count[stops][None, :] - self.count[starts][:, None]
+        s = self.total[stops][None, :] - self.total[starts][:, None]
         with np.errstate(invalid="ignore", divide="ignore"):
-            spread = square[stop] - square[start] - (total[stop] - total[start]) ** 2 / n
-        return np.where(n > 0, np.maximum(spread, 0.0), 0.0)
+            spread = self.square[stops][None, :] - self.square[starts][:, None] - s * s / n
+        return np.where((n > 0) & (stops[None, :] > starts[:, None]), np.maximum(spread, 0.0), 0.0)
 
-    ends = np.arange(m + 1)
-    cost = deviation(ends[:, None], ends[None, :])
-    cost[np.tril_indices(m + 1, 0)] = np.inf
 
-    best, origin = [cost[0]], []
+def _blocks(m: int) -> list[slice]:
+    """Slices of 0..m-1 whose tables against all m stay within a fixed size."""
+    size = max(1, TABLE // m)
+    return [slice(a, min(m, a + size)) for a in range(0, m, size)]
+
+
+def _best_cuts(bins: np.ndarray, k: int) -> tuple[list[int], float]:
+    """Best partition along bin borders and its deviation."""
+    m = len(bins)
+    ends = np.arange(m + 1)
+    costs = _Costs(bins)
+    best = np.where(ends > 0, costs.table(ends[:1], ends)[0], np.inf)
+    origin = []
     for _ in range(1, k):
-        through = best[-1][:, None] + cost
-        origin.append(np.argmin(through, axis=0))
-        best.append(np.min(through, axis=0))
+        step, through = np.empty(m + 1, dtype=np.int64), np.empty(m + 1)
+        for block in _blocks(m + 1):
+            table = best[:, None] + costs.table(ends, ends[block])
+            table[ends[:, None] >= ends[block][None, :]] = np.inf
+            step[block], through[block] = np.argmin(table, axis=0), np.min(table, axis=0)
+        origin.append(step)
+        best = through
     cuts, stop = [], m
     for step in reversed(origin):
         stop = int(step[stop])
         cuts.append(stop)
+    return cuts[::-1], float(best[m])
+
+
+def _within_cost(bins: np.ndarray, k: int, deviation: float) -> np.ndarray:
+    """For each of the k-1 cuts, the bins in or at the end of which it can lie without exceeding ``deviation``."""
+    m = len(bins)
+    single, closed = bins[:, 4] <= bins[:, 3], bins[:, 5] == 0
+    at = np.arange(m)
+    # A cut in bin b has b on its left if b is one value, and else counts b for neither class.
+    stops = np.where(single, at + 1, at)
+    costs = _Costs(bins)
+
+    def between(rows: slice, columns: slice) -> np.ndarray:
+        """Least cost of a class from a cut in one bin to a cut in another."""
+        table = costs.table(at[rows] + 1, stops[columns])
+        first, second = at[rows][:, None], at[columns][None, :]
+        return np.where((first < second) | (first == second) & ~single[columns][None, :], table, np.inf)
 
-    # The same recursion from both ends, each cut lowered by its allowance.
-    relief = np.concatenate([[0.0], allowance, [0.0]])
-    forward, backward = [cost[0]], [cost[:, m]]
+    everything = slice(0, m)
+    forward = [np.where(closed, np.inf, costs.table(at[:1], stops)[0])]
+    backward = [np.where(closed, np.inf, costs.table(at + 1, np.array([m]))[:, 0])]
     for _ in range(1, k - 1):
-        forward.append(np.min((forward[-1] - relief)[:, None] + cost, axis=0))
-        backward.append(np.min(cost + (backward[-1] - relief)[None, :], axis=1))
-    bound = np.full(m + 1, np.inf)
-    for i in range(k - 1):
-        bound = np.minimum(bound, forward[i] + backward[k - 2 - i] - relief)
-    return sorted(cuts), float(best[-1][m]), bound[1:m]
-
-
-def _refine(summary: _Summary, k: int) -> None:
-    """Solve on the present bins and schedule the bins that may still hold an optimal cut."""
-    bins = summary.bins
-    slack = bins[:, 5] * bins[:, 0] * (bins[:, 4] - bins[:, 3]) * (bins[-1, 4] - bins[0, 3])
-    allowance = np.maximum(slack[:-1], slack[1:])
-    cuts, deviation, bound = _partition(bins, k, allowance)
-    rounding = 1e-12 * (bins[:, 2].sum() + 1e-300)
-    open_border = bound <= deviation + rounding
-    # With no allowance left above rounding the found partition is optimal.
-    wide = (allowance > rounding) & open_border
-    splittable = np.zeros(len(bins), dtype=bool)
-    splittable[:-1] |= wide
-    splittable[1:] |= wide
-    splittable &= (bins[:, 4] > bins[:, 3]) & (bins[:, 5] > 0)
-    summary.cuts = cuts
-    if not splittable.any():
-        summary.done = True
-        return
-    # Bins away from every open border can no longer be cut, and neighbours among them act as one.
-    near = splittable.copy()
-    near[:-1] |= open_border
-    near[1:] |= open_border
+        ahead, behind = np.empty(m), np.empty(m)
+        for block in _blocks(m):
+            ahead[block] = np.min(forward[-1][:, None] + between(everything, block), axis=0)
+            behind[block] = np.min(between(block, everything) + backward[-1][None, :], axis=1)
+        forward.append(np.where(closed, np.inf, ahead))
+        backward.append(np.where(closed, np.inf, behind))
+    rounding = 1e-11 * (bins[:, 2].sum() + 1e-300)
+    return np.array([forward[i] + backward[k - 2 - i] <= deviation + rounding for i in range(k - 1)])
+
+
+def _within_midpoints(bins: np.ndarray, lows: np.ndarray, highs: np.ndarray, center: float) -> tuple[np.ndarray, np.ndarray]:
+    """Narrow the first and last bin of each cut until the midpoint argument gives nothing more."""
+    count, total = (np.concatenate([[0.0], np.cumsum(bins[:, i])]) for i in range(2))
+    lowest, highest = bins[:, 3], bins[:, 4]
+    single = (highest <= lowest).astype(int)
+    m = len(bins)
+
+    def midpoints(borders: np.ndarray, empty: np.ndarray) -> np.ndarray:
+        """Midpoints of the means of classes between borders; an empty class stands for the value in ``empty``."""
+        edges = np.concatenate([[0], borders, [m]])
+        n = count[edges[1:]] - count[edges[:-1]]
+        mean = (total[edges[1:]] - total[edges[:-1]]) / np.where(n > 0, n, 1.0) + center
+        mean = np.where(n > 0, mean, empty[np.minimum(edges[:-1], m - 1)] if empty is lowest else empty[np.maximum(edges[1:] - 1, 0)])
+        return (mean[1:] + mean[:-1]) / 2
+
+    scale = 1e-12 * (np.abs(lowest[0]) + np.abs(highest[-1]))
+    while True:
+        # A cut in bin b has at least the bins before b on its left, and b too if b is one value.
+        least = midpoints(lows + single[lows], lowest)
+        up = np.maximum(lows, np.searchsorted(highest, least - scale, "left") - 1)
+        down = np.minimum(highs, np.searchsorted(lowest, midpoints(highs + 1, highest) + scale, "right") - 1)
+        if (up == lows).all() and (down == highs).all():
+            return lows, highs
+        if (up > down).any():  # rounding: keep what was proven before
+            return lows, highs
+        lows, highs = up, down
+
+
+def _refine(state: _Summary) -> bool:
+    """Solve on the present bins and schedule those that may still hold an optimal cut; false when there are none."""
+    bins, k = state.bins, state.classes
+    state.cuts, deviation = _best_cuts(bins, k)
+    open_bins = _within_cost(bins, k, deviation)
+    at = np.arange(len(bins))
+    if state.within is not None:
+        for o, (low, high) in zip(open_bins, state.within):
+            o &= (bins[:, 4] >= low) & (bins[:, 3] <= high)
+    lows = np.array([o.argmax() for o in open_bins])
+    highs = np.array([len(o) - 1 - o[::-1].argmax() for o in open_bins])
+    lows, highs = _within_midpoints(bins, lows, highs, state.center)
+    for o, low, high in zip(open_bins, lows, highs):
+        o &= (at >= low) & (at <= high)
+    state.within = np.stack([bins[lows, 3], bins[highs, 4]], axis=1)
+    needed = open_bins.any(axis=0)
+    wide = needed & (bins[:, 4] > bins[:, 3])
+    if not wide.any():
+        return False
+    _schedule(state, needed, wide)
+    return True
+
+
+def _schedule(state: _Summary, needed: np.ndarray, wide: np.ndarray) -> None:
+    """Count ``wide`` bins anew; merge the bins between ``needed`` ones.
+
+    Neighbours share a range as long as each of them is still cut at least in two. Of more than ``RANGES`` ranges those
+    with the most rows come first; the others wait as they are.
+    """
+    bins = state.bins
+    share = max(2, BINS // int(wide.sum()))
+    runs: list[list[int]] = []
+    finest = np.inf
+    for i in np.flatnonzero(wide):
+        width = bins[i, 4] - bins[i, 3]
+        if runs and runs[-1][1] == i - 1:
+            size = i - runs[-1][0] + 1
+            if (bins[i, 4] - bins[runs[-1][0], 3]) / (share * size) <= min(finest, width) / 2:
+                runs[-1][1], finest = int(i), min(finest, width)
+                continue
+        runs.append([int(i), int(i)])
+        finest = width
+    runs = sorted(sorted(runs, key=lambda r: -bins[r[0] : r[1] + 1, 0].sum())[:RANGES])
+    covered = np.zeros(len(bins), dtype=bool)
+    state.pending = []
+    for a, b in runs:
+        covered[a : b + 1] = True
+        state.pending.append((float(bins[a, 3]), float(bins[b, 4]), share * (b - a + 1)))
     kept, run = [], None
-    for row, keep, split in zip(bins, near, splittable):
-        if keep or run is None:
-            if not split:
-                kept.append(np.append(row[:5], float(keep)))
-            run = None if keep else kept[-1]
+    for i, row in enumerate(bins):
+        if covered[i]:
+            run = None
+        elif needed[i] or run is None:
+            kept.append(np.append(row[:5], float(needed[i])))
+            run = None if needed[i] else kept[-1]
         else:
             run[:3] += row[:3]
             run[4] = row[4]
-    summary.pending = _ranges(bins, splittable)
-    summary.bins = np.array(kept).reshape(-1, 6)
-
-
-def _ranges(bins: np.ndarray, splittable: np.ndarray) -> list[tuple[float, float, int]]:
-    """Ranges to count anew. Neighbouring bins share one as long as each is still cut at least in two."""
-    share = max(2, BINS // int(splittable.sum()))
-    ranges: list[tuple[float, float, int]] = []
-    size, least = 0, np.inf
-    for i in np.flatnonzero(splittable):
-        low, high = bins[i, 3], bins[i, 4]
-        if size and splittable[i - 1]:
-            finest = min(least, high - low)
-            if (high - ranges[-1][0]) / (share * (size + 1)) <= finest / 2:
-                size, least = size + 1, finest
-                ranges[-1] = (ranges[-1][0], high, share * size)
-                continue
-        size, least = 1, high - low
-        ranges.append((low, high, share))
-    return ranges
+    state.bins = np.array(kept).reshape(-1, 6)
 
 
 def natural_breaks(df: DataFrame, columns: Sequence[str], k: int | dict[str, int] = 5) -> DataFrame:
     """Classes of each column with least total squared deviation from class means.
 
     Returns one row per measure and class with its lowest and highest value and row count. All measures advance
-    together, so a pass over the data serves every one of them. Missing and NaN are left out; a column with no more
-    distinct values than classes gets one class per value.
+    together, so a pass over the data serves every one of them. Missing, NaN and infinite values are left out; a column
+    with no more distinct values than classes gets one class per value. After the first pass the values still in question
+    are stored as counts of distinct values, and later passes read nothing else.
     """
     wanted = {c: k[c] if isinstance(k, dict) else k for c in columns}
-    extremes = []
-    for c in columns:
-        value = F.when(is_number(c), F.col(c).cast("double"))
-        extremes += [F.min(value), F.max(value), F.avg(value)]
-    edges = df.agg(*[e.alias(str(i)) for i, e in enumerate(extremes)]).first()
-    states: dict[str, _Summary] = {}
-    for i, c in enumerate(columns):
-        low, high, mean = edges[3 * i : 3 * i + 3]
-        if low is not None:
-            states[c] = _Summary(mean, pending=[(low, high, BINS)])
-
-    for _ in range(MAX_PASSES):
-        work = {c: s for c, s in states.items() if not s.done}
-        if not work:
-            break
-        for c, fresh in _count_bins(df, work).items():
+
+    def value(c: str) -> Column:
+        number = F.col(c).cast("double")
+        return F.when(is_number(c) & (F.abs(number) < float("inf")), number)
+
+    parts = [F.struct(F.lit(c).alias("m"), value(c).alias("v")) for c in columns]
+    values = df.select(F.inline(F.array(*parts))).where(F.col("v").isNotNull()).withColumn("n", F.lit(1).cast("long"))
+    edges = values.groupBy("m").agg(F.min("v"), F.max("v"), F.avg("v")).collect()
+    states = {r[0]: _Summary(r[3], wanted[r[0]], (r[1], r[2]), pending=[(r[1], r[2], BINS)]) for r in edges}
+    stored = False
+    work = dict(states)
+    while work:
+        for c, fresh in _count_bins(values, work).items():
             state = work[c]
             merged = np.vstack([state.bins, fresh])
             state.bins = merged[np.argsort(merged[:, 3], kind="stable")]
             several = state.bins[:, 4] > state.bins[:, 3]
-            if wanted[c] == 1 or len(state.bins) <= wanted[c] and not several.any():
-                state.done, state.cuts = True, list(range(1, len(state.bins))) if wanted[c] > 1 else []
-            elif len(state.bins) <= wanted[c]:
-                # Too few bins to choose from: split every bin that holds several values.
-                parts = max(2, BINS // wanted[c])
-                state.pending = [(row[3], row[4], parts) for row in state.bins[several]]
-                state.bins = state.bins[~several]
-            else:
-                _refine(state, wanted[c])
-    else:
-        raise RuntimeError("natural breaks did not settle")
+            if state.classes == 1 or len(state.bins) <= state.classes and not several.any():
+                state.cuts = list(range(1, len(state.bins))) if state.classes > 1 else []
+                state.pending = []
+            elif len(state.bins) <= state.classes:
+                # Too few bins to choose from: count every bin that holds several values anew.
+                _schedule(state, np.ones_like(several), several)
+            elif not _refine(state):
+                state.pending = []
+        work = {c: s for c, s in work.items() if s.pending}
+        if work and not stored:
+            # One range for each cut of a measure.
+            asked = [
+                (F.col("m") == c) & F.col("v").between(float(low), float(high))
+                for c, s in work.items()
+                for low, high in ([(s.bounds[0], s.bounds[1])] if s.within is None else s.within)
+            ]
+            left = values.where(reduce(lambda a, b: a | b, asked))
+            values, stored = materialize(left.groupBy("m", "v").agg(F.sum("n").alias("n"))), True
 
     rows = []
-    for c, state in states.items():
+    for c in columns:
+        if c not in states:
+            continue
+        state = states[c]
         borders = [0, *state.cuts, len(state.bins)]
         for i, (a, b) in enumerate(zip(borders[:-1], borders[1:])):
             part = state.bins[a:b]
