@@ -222,8 +222,8 @@ WITH o AS (
 """
 
 
-def _classes(measure: str) -> str:
-    cuts = fixed.RATE_BREAKS[measure]
+def _classes(measure: str, breaks: dict = fixed.RATE_BREAKS) -> str:
+    cuts = breaks[measure]
     last = len(cuts) - 2
     whens = "".join(
         f" WHEN {measure} >= {a} AND {measure} {'<=' if i == last else '<'} {b} THEN {i}"
@@ -238,7 +238,7 @@ def _classes(measure: str) -> str:
     )
 
 
-CLASSED = ["NStopsBlackRatePerStratum", "NStopsTotalRatePerCapita", "NStopsWhiteVSASRatePerStratum"]
+CLASSED = list(fixed.RATE_BREAKS)
 
 
 def _demographic(variable: str) -> str:
@@ -477,8 +477,8 @@ SELECT raceRecode, count(*) AS n, round(count(*) / (SELECT count(*) FROM clean):
 WITH raw AS ({RAW}), l AS ({long}), n AS (SELECT personSearch, variable, value, count(*) AS n FROM l GROUP BY ALL)
 SELECT *, round(n / (sum(n) OVER (PARTITION BY personSearch, variable))::DOUBLE * 100, 6) AS freq FROM n"""
     sql["fill_share"] = f"""
-WITH raw AS ({RAW}), n AS (SELECT personSearch, 'race' AS variable, race AS value, count(*) AS n FROM raw WHERE personSearch <> '' GROUP BY ALL)
-SELECT *, round(n / (sum(n) OVER (PARTITION BY value))::DOUBLE, 6) AS share FROM n"""
+WITH raw AS ({RAW}), l AS ({long}), n AS (SELECT personSearch, variable, value, count(*) AS n FROM l WHERE personSearch <> '' GROUP BY ALL)
+SELECT *, round(n / (sum(n) OVER (PARTITION BY variable, value))::DOUBLE, 6) AS share FROM n"""
     sql["column_range"] = "SELECT " + ", ".join(
         f"{f}({c}) AS {f}_{c}" for c in ("l_extendedprice", "l_discount", "l_quantity") for f in ("min", "max")
     ) + " FROM lineitem"
@@ -542,7 +542,7 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND day(e.t
     sql["in_every_period"] = """
 WITH e AS (SELECT user_id, CAST((day(ts) - 1) // 3 AS INTEGER) AS part, value FROM events)
 SELECT * FROM e WHERE user_id IN (SELECT user_id FROM e GROUP BY 1 HAVING count(DISTINCT part) = 10)"""
-    sql["pooled_years"] = f"{ORDER_RATES} SELECT YEAR, NAME, NStopsTotal FROM rates WHERE YEAR IN (1996, 1997, 1998)"
+    sql["pooled_years"] = f"{ORDER_RATES} SELECT YEAR, NAME, NStopsTotal FROM rates"
 
     sql["top_n_ties_customers"] = "SELECT c_name, c_acctbal FROM customer QUALIFY rank() OVER (ORDER BY c_acctbal DESC) <= 10"
     sql["top_n_ties_quantity"] = """
@@ -552,6 +552,8 @@ QUALIFY rank() OVER (ORDER BY l_quantity DESC) <= 10"""
 SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice >= 910 AND p_retailprice < 920 THEN 0 WHEN p_retailprice >= 920 AND p_retailprice < 950 THEN 1
        WHEN p_retailprice >= 950 AND p_retailprice <= 990 THEN 2 END AS class FROM part"""
     sql["class_tables"] = f"{ORDER_RATES} {' UNION ALL '.join(_classes(m) for m in CLASSED)}"
+    own = " UNION ALL ".join(_classes(m, fixed.OWN_SCALE_BREAKS) for m in fixed.OWN_SCALE_BREAKS)
+    sql["class_tables_own_scale"] = f"{ORDER_RATES} {own}"
     sql["natural_breaks_price"] = _natural_breaks("part", "p_retailprice", 5)
     sql["natural_breaks_balance"] = _natural_breaks("supplier", "s_acctbal", 6)
 
@@ -612,9 +614,12 @@ WITH raw AS ({RAW})
 SELECT event_id::DOUBLE AS event_id, neighborhood, problem, gender, race, preRace, personSearch, vehicleSearch, callDisposition, reason,
        strftime(tm, '%Y/%m/%d %H:%M:%S') || '+00' AS responseDate, lat, long FROM raw"""
     sql["tsv_round_trip"] = sql["high_rate_areas"]
-    sql["year_layers_round_trip"] = f"{ORDER_RATES} SELECT YEAR, NAME, NStopsTotal FROM rates WHERE YEAR = 1999"
-    sql["measure_outputs_round_trip"] = f"""{ORDER_RATES}, l AS ({' UNION ALL '.join(_classes(m) for m in CLASSED[:2])})
-SELECT measure, YEAR, count(*) AS n, count(class) AS classed FROM l GROUP BY 1, 2"""
+    sql["year_layers_round_trip"] = f"{ORDER_RATES} SELECT YEAR, NAME, NStopsTotal FROM rates"
+    sql["measure_outputs_round_trip"] = sql["class_tables"]
+    sql["agreement_many_levels"] = """
+WITH p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS i FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+o AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS j FROM (SELECT DISTINCT l_orderkey FROM lineitem))
+SELECT round(count(*) FILTER (i = j) / count(*)::DOUBLE, 8) AS agreement FROM lineitem JOIN p USING (l_partkey) JOIN o USING (l_orderkey)"""
     picked = ("pop_tot", "race_blk", "crowd_num4")
     place = {v: list(fixed.VARIABLE_CODES).index(v) for v in picked}
     cells = ", ".join(f"{_demographic(v)} AS {v}E, {place[v]}e0 AS {v}M" for v in picked)

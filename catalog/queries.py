@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -40,6 +39,7 @@ from eventrates.operators.regression import (
 from eventrates.plans import area_rates as area_plan
 from eventrates.plans import event_preparation as prep
 from eventrates.plans import search_models
+from eventrates.session import shared_folder
 from eventrates.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,8 +213,9 @@ def melt_share(spark, sf_dir):
 @query
 def fill_share(spark, sf_dir):
     searched = clean.exclude_values(raw_events(spark, sf_dir), {"personSearch": [""]})
-    long = describe.melt(searched, ["race"], ["personSearch"])
-    return rounded(describe.fill_share(describe.group_count(long, ["personSearch", "variable", "value"]), "value"))
+    long = describe.melt(searched, ["race", "problem", "gender", "reason"], ["personSearch"])
+    bars = describe.group_count(long, ["personSearch", "variable", "value"])
+    return rounded(describe.fill_share(bars, ["variable", "value"]))
 
 
 @query
@@ -415,7 +416,7 @@ def in_every_period(spark, sf_dir):
 @query
 def pooled_years(spark, sf_dir):
     rated = _order_rates(spark, sf_dir).select("YEAR", "NAME", "NStopsTotal")
-    return reduce(lambda a, b: a.unionByName(b), [rated.where(F.col("YEAR") == y) for y in (1996, 1997, 1998)])
+    return reduce(lambda a, b: a.unionByName(b), [rated.where(F.col("YEAR") == y) for y in range(1995, 2002)])
 
 
 # Classes and ranking
@@ -443,8 +444,12 @@ def fixed_breaks_parts(spark, sf_dir):
 
 @query
 def class_tables(spark, sf_dir):
-    names = ["NStopsBlackRatePerStratum", "NStopsTotalRatePerCapita", "NStopsWhiteVSASRatePerStratum"]
-    return rounded(classified_long(_order_rates(spark, sf_dir), {n: fixed.RATE_BREAKS[n] for n in names}))
+    return rounded(classified_long(_order_rates(spark, sf_dir), fixed.RATE_BREAKS))
+
+
+@query
+def class_tables_own_scale(spark, sf_dir):
+    return rounded(classified_long(_order_rates(spark, sf_dir), fixed.OWN_SCALE_BREAKS))
 
 
 @query
@@ -648,8 +653,7 @@ def gee_battery(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/eventrates"
-    return os.path.join(base, f"sink-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
 
 
 @query
@@ -673,17 +677,20 @@ def tsv_round_trip(spark, sf_dir):
 def year_layers_round_trip(spark, sf_dir):
     path = _scratch(spark)
     writers.write_table(_order_rates(spark, sf_dir).select("YEAR", "NAME", "NStopsTotal"), path)
-    return readers.read_areas(spark, path).where(F.col("YEAR") == 1999).select("YEAR", "NAME", "NStopsTotal")
+    return readers.read_areas(spark, path).select("YEAR", "NAME", "NStopsTotal")
 
 
 @query
 def measure_outputs_round_trip(spark, sf_dir):
     path = _scratch(spark)
-    names = ["NStopsBlackRatePerStratum", "NStopsTotalRatePerCapita"]
-    long = classified_long(_order_rates(spark, sf_dir), {n: fixed.RATE_BREAKS[n] for n in names})
-    writers.write_by_measure(long, path)
-    back = spark.read.parquet(path)
-    return back.groupBy("measure", "YEAR").agg(F.count(F.lit(1)).alias("n"), F.count("class").alias("classed"))
+    writers.write_by_measure(classified_long(_order_rates(spark, sf_dir), fixed.RATE_BREAKS), path)
+    return rounded(spark.read.parquet(path))
+
+
+@query
+def agreement_many_levels(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    return rounded(describe.agreement(lines, "l_partkey", "l_orderkey", "positional"), 8)
 
 
 @query

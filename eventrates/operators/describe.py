@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventrates.functions.columns import is_number, safe_ratio
@@ -66,6 +67,30 @@ def crosstab(df: DataFrame, row: str, column: str, levels: Sequence | None = Non
     return counts.groupBy(row).pivot(column, list(levels)).agg(F.sum("n")).fillna(0, [str(v) for v in levels]).orderBy(row)
 
 
+def add_position(df: DataFrame, order_by: Sequence[str | Column], out: str = "position") -> DataFrame:
+    """One-based position of every row in a total order, without gathering the rows in one task.
+
+    Rows are range-partitioned and sorted, then stored once so that partition borders stay put. Only the row count
+    of each partition is then needed to turn the place within a partition into a place in the whole.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    place, part = "__place", "__part"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(ranged.withColumn(place, F.monotonically_increasing_id())).withColumn(
+        part, F.shiftright(place, 33)
+    )
+    sizes = stored.groupBy(part).count()
+    before = sizes.select(
+        F.col(part).alias("__key"),
+        (F.sum("count").over(W.orderBy(part)) - F.col("count")).alias("__before"),
+    )
+    return (
+        stored.join(F.broadcast(before), F.col(part) == F.col("__key"))
+        .withColumn(out, F.col("__before") + F.col(place).bitwiseAND((1 << 33) - 1) + 1)
+        .drop(place, part, "__key", "__before")
+    )
+
+
 def agreement(
     df: DataFrame,
     a: str,
@@ -86,10 +111,15 @@ def agreement(
         if levels is None:
             counts = materialize(counts)
         paired = counts.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        a_levels, b_levels = levels or (levels_of(paired, a), levels_of(paired, b))
-        position_a = F.array_position(F.array(*[F.lit(v) for v in a_levels]), F.col(a))
-        position_b = F.array_position(F.array(*[F.lit(v) for v in b_levels]), F.col(b))
-        same = (position_a == position_b) & (position_a > 0)
+        for column, given, name in ((a, levels and levels[0], "__pa"), (b, levels and levels[1], "__pb")):
+            if given is not None:
+                place = F.array_position(F.array(*[F.lit(v) for v in given]), F.col(column))
+                counts = counts.withColumn(name, F.when(place > 0, place))
+                continue
+            # Any number of levels: they are numbered where they are and joined back.
+            numbered = add_position(paired.select(F.col(column).alias("__level")).distinct(), ["__level"], name)
+            counts = counts.join(numbered, F.col(column) == F.col("__level"), "left").drop("__level")
+        same = F.col("__pa") == F.col("__pb")
     else:
         raise ValueError(f"unknown agreement mode: {mode}")
     agreed = F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0))
@@ -140,9 +170,9 @@ def share_within(counts: DataFrame, keys: Sequence[str], count: str = "n", share
     )
 
 
-def fill_share(counts: DataFrame, bar: str, count: str = "n", share: str = "share") -> DataFrame:
-    """Height of each part of a bar scaled to 1."""
-    return share_within(counts, [bar], count, share).withColumn(share, F.col(share) / 100)
+def fill_share(counts: DataFrame, bar: str | Sequence[str], count: str = "n", share: str = "share") -> DataFrame:
+    """Height of each part of a bar scaled to 1; several columns may name a bar."""
+    return share_within(counts, [bar] if isinstance(bar, str) else list(bar), count, share).withColumn(share, F.col(share) / 100)
 
 
 def column_range(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventrates.functions.columns import month_key, safe_ratio
 from eventrates.operators.counts import TOTAL, count_matrix
-from eventrates.session import materialize
+from eventrates.operators.describe import add_position
 
 MONTH = "dateMonthYear"
 
@@ -73,30 +73,6 @@ def stack_layout(
     )
 
 
-def add_position(df: DataFrame, order_by: Sequence[str | Column], out: str = "position") -> DataFrame:
-    """One-based position of every row in a total order, without gathering the rows in one task.
-
-    Rows are range-partitioned and sorted, then stored once so that partition borders stay put. Only the row count
-    of each partition is then needed to turn the place within a partition into a place in the whole.
-    """
-    order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    place, part = "__place", "__part"
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    stored = materialize(ranged.withColumn(place, F.monotonically_increasing_id())).withColumn(
-        part, F.shiftright(place, 33)
-    )
-    sizes = stored.groupBy(part).count()
-    before = sizes.select(
-        F.col(part).alias("__key"),
-        (F.sum("count").over(W.orderBy(part)) - F.col("count")).alias("__before"),
-    )
-    return (
-        stored.join(F.broadcast(before), F.col(part) == F.col("__key"))
-        .withColumn(out, F.col("__before") + F.col(place).bitwiseAND((1 << 33) - 1) + 1)
-        .drop(place, part, "__key", "__before")
-    )
-
-
 def every_nth(
     df: DataFrame, value: str, nth: int, order_by: Sequence[str | Column], empty: bool = True, inverse: bool = False
 ) -> DataFrame:

@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 # A lookup side is broadcast only when its measured size is below this.
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
@@ -37,21 +36,26 @@ def build_session(app_name: str = "eventrates", conf: dict[str, str] | None = No
     return apply_settings(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="eventrates-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, so later passes neither recompute it nor depend on lost executors.
 
-    The shared folder the session names in ``spark.checkpoint.dir`` is used. Where none is named, a local session
-    takes a temporary folder; a cluster session keeps the rows persisted with their lineage instead.
+    The rows are written to the session's shared folder. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark
+    removes the files once no table refers to them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="eventrates-checkpoint-")
-        if folder is None:
-            return df.persist(StorageLevel.MEMORY_AND_DISK)
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -69,11 +73,11 @@ def broadcast_if_small(
     return df, False
 
 
-def levels_of_each(df: DataFrame, columns: list[str], max_levels: int = 10_000) -> dict[str, list]:
+def levels_of_each(df: DataFrame, columns: list[str], max_levels: int | None = None) -> dict[str, list]:
     """Sorted distinct non-missing values of category columns, from one pass over the data.
 
-    Like ``pivot`` without a value list, this refuses columns with more than ``max_levels`` values instead of pulling
-    an unbounded set to the driver.
+    For results that have a column or a term per level, whose size the driver holds anyway. A caller that wants to be
+    warned of a key column taken by mistake states ``max_levels``.
     """
     found: dict[str, list] = {c: [] for c in columns}
 
@@ -86,17 +90,20 @@ def levels_of_each(df: DataFrame, columns: list[str], max_levels: int = 10_000)
 
     long = df.select(F.inline(F.array(*[F.named_struct(*slots(c)) for c in columns])))
     filled = F.greatest(*[F.col(f"v{i}").isNotNull() for i in range(len(columns))], F.lit(False))
-    rows = long.where(filled).distinct().limit(max_levels * len(columns) + 1).collect()
+    rows = long.where(filled).distinct()
+    if max_levels is not None:
+        rows = rows.limit(max_levels * len(columns) + 1)
+    rows = rows.collect()
     for row in rows:
         for i, c in enumerate(columns):
             if row[i] is not None:
                 found[c].append(row[i])
     for c, values in found.items():
-        if len(values) > max_levels or len(rows) > max_levels * len(columns):
+        if max_levels is not None and (len(values) > max_levels or len(rows) > max_levels * len(columns)):
             raise ValueError(f"{c} may have more than {max_levels} distinct values; pass its levels explicitly")
     return {c: sorted(values) for c, values in found.items()}
 
 
-def levels_of(df: DataFrame, column: str, max_levels: int = 10_000) -> list:
+def levels_of(df: DataFrame, column: str, max_levels: int | None = None) -> list:
     """Sorted distinct non-missing values of one category column."""
     return levels_of_each(df, [column], max_levels)[column]

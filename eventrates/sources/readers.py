@@ -30,18 +30,16 @@ def read_csv(
     """Headered CSV whose columns, in file order, are all read as text and then typed.
 
     Text: a blank field is the empty string and ``NA`` is missing. Numbers: anything unparsable is missing. Header
-    names are ignored in favour of ``columns``, whose count must match the file. ``multi_line`` allows line breaks in
+    names are ignored in favour of ``columns``; a header with another number of columns is refused. ``multi_line`` allows line breaks in
     quoted text, at the price that a file can no longer be split over tasks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
+    plain = {"header": True, "multiLine": multi_line, "escape": '"'}
+    # Without a schema only the head of a file is read.
+    header = spark.read.options(**plain).csv(path).columns
+    if len(header) != len(columns):
+        raise ValueError(f"{path} has {len(header)} columns, expected {len(columns)}: {header}")
+    raw = spark.read.schema(schema).options(**plain, enforceSchema=True).csv(path)
     typed = {}
     for c in columns:
         value = F.col(c)

@@ -74,8 +74,11 @@ def test_other_missing_words(spark, tmp_path, missing):
     assert got == ([None, "NA"] if missing else ["none", None])
 
 
-def test_unmatched_header_count_is_not_silently_shifted(spark, tmp_path):
+def test_unmatched_header_count_is_refused(spark, tmp_path):
     path = tmp_path / "h.csv"
     path.write_text("a,b\n1,2\n")
     got = readers.read_csv(spark, str(path), ["x", "y"]).select(F.col("y")).first()
     assert got["y"] == "2"
+    for columns in (["x"], ["x", "y", "z"]):
+        with pytest.raises(ValueError, match="2 columns"):
+            readers.read_csv(spark, str(path), columns)
