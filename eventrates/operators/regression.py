@@ -139,10 +139,21 @@ def _pairs(size: int) -> list[tuple[int, int]]:
 
 
 def _linear(prep: _Prepared, beta: np.ndarray) -> Column:
-    eta = F.lit(0.0)
+    """Linear predictor. Terms of the same columns share one array of coefficients, looked up by the levels' codes."""
+    tables: dict[tuple[tuple[str, ...], str | None], dict[tuple[int, ...], float]] = {}
     for term, value in zip(prep.terms, beta):
-        number = F.lit(float(value)) if term.number is None else F.col(term.number) * F.lit(float(value))
-        eta = eta + (F.when(term.indicator(), number).otherwise(F.lit(0.0)) if term.where else number)
+        columns = tuple(c for c, _ in term.where)
+        tables.setdefault((columns, term.number), {})[tuple(int(v) for _, v in term.where)] = float(value)
+    eta = F.lit(0.0)
+    for (columns, number), values in tables.items():
+        sizes = [len(prep.model.levels[c]) if c in prep.model.levels else 2 for c in columns]
+        flat, place = np.zeros(int(np.prod(sizes, dtype=np.int64))), F.lit(0)
+        for codes, value in values.items():
+            flat[int(np.ravel_multi_index(codes, sizes)) if codes else 0] = value
+        for c, size in zip(columns, sizes):
+            place = place * size + F.col(c).cast("int")
+        part = F.get(F.array(*[F.lit(float(v)) for v in flat]), place)
+        eta = eta + (part if number is None else part * F.col(number))
     return eta
 
 

@@ -193,3 +193,22 @@ def test_design_matrix_rows(spark):
     df = to_df(spark, [("k", 1, "b", True, 2.0, 3.0), ("k", 0, "a", False, 2.0, 3.0), ("k", 0, "q", False, 2.0, 3.0)])
     got = design_matrix(df, model(True), "cluster").orderBy(F.desc("y")).collect()
     assert [list(r)[2:] for r in got] == [[1, 1, 0, 2, 3, 1, 1, 0], [1, 0, 0, 2, 3, 0, 0, 0]]
+
+
+def test_many_levels(spark):
+    rng = np.random.default_rng(8)
+    n, levels = 6000, 300
+    code = rng.integers(0, levels, n)
+    x = rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 * x + np.sin(code))))).astype(int)
+    rows = [(int(i % 40), int(a), f"L{b:03d}", float(c)) for i, (a, b, c) in enumerate(zip(y, code, x))]
+    df = spark.createDataFrame(rows, "cluster int, y int, kind string, x double")
+    prep = reg._prepare(df, BinaryModel("y", ["kind", "x"], {"kind": None}), "cluster")
+    beta = rng.normal(size=len(prep.terms))
+    got = prep.rows.withColumn("eta", reg._linear(prep, beta)).select("kind", "x", "eta").collect()
+    names = {(t.where[0][1] if t.where else None, t.number): b for t, b in zip(prep.terms, beta)}
+    for r in got[::50]:
+        want = names[(None, None)] + names.get((r["kind"], None), 0.0) + names[(None, "x")] * r["x"]
+        assert abs(r["eta"] - want) < 1e-9
+    score, gram, _ = reg._score_and_gram(reg._moments(prep, beta, False), prep)
+    assert gram.shape == (len(beta), len(beta)) and np.isfinite(score).all()
