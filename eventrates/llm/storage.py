@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="eventrates-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+from eventrates.session import materialize, shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -32,9 +20,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Checkpoint a slim table in the shared folder; Spark's cleaner removes it when no table refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Checkpoint a slim table in the shared folder."""
+    return materialize(df)
 
 
 def own(name: str) -> Column:
