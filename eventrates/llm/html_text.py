@@ -223,8 +223,8 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[s
 
     Blocks are joined in page order by two line feeds; white space inside a block is one space; character references
     are decoded. NULL or empty pages give an empty text. Rows without a URL share the host "". Hosts with fewer than
-    ``LEAST_PAGES`` pages are judged by tags, classes and roles alone. Repeated pages count as pages of their host.
-    Input columns of the two names are replaced. An empty table gives an empty table.
+    ``LEAST_PAGES`` pages are judged by tags, classes and roles alone. Pages of a host with the same blocks are one page
+    to its tree, and each gets its text. Input columns of the two names are replaced. An empty table gives an empty table.
     """
     added = ["text", "n_chars"]
     columns = carried(pages, added) if keep is None else [c for c in keep if c not in added]
@@ -246,10 +246,15 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[s
             F.monotonically_increasing_id().alias("at"),
             host_of(own(url)).alias("host"),
             parsed(own(page)).alias("parsed"),
-        )
+        ).select("*", F.xxhash64("parsed.blocks").alias("mark"), F.xxhash64("parsed.nodes").alias("way"))
     )
     nodes = read.select("at", "host", F.inline("parsed.nodes"))
-    low = importance(nodes).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    firsts = read.groupBy("host", "mark").agg(F.min(F.struct("way", "at")).alias("first"))
+    firsts = firsts.select(F.col("first.at").alias("at"))
+    copies = stored(read.select("at").join(firsts, "at", "left_anti"))
+    repeated = copies.count()
+    once = nodes.join(broadcast_below(copies, repeated, 250_000), "at", "left_anti") if repeated else nodes
+    low = importance(once).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     low = stored(low.select("host", "path"))
     paths = low.count()
     blocks = F.col("parsed.blocks")

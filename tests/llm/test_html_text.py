@@ -84,3 +84,18 @@ def test_query(spark):
         parts = re.split(r"</?(?:p|h1)>", article)
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub("</?b>", "", p))).split()) for p in parts]
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_copies_keep_their_text_in_any_node(spark):
+    def page(body):
+        return f"<body><nav>menu</nav>{body}</body>"
+
+    inner = page("<article><div class='entry-content'><p>copied text</p></div></article>")
+    rows = [(i, "http://a.example/", inner) for i in range(30)]
+    rows += [(100 + i, "http://b.example/", page("<div><p>plain text</p></div>")) for i in range(30)]
+    rows += [(200 + i, "http://c.example/", page(f"<div class=post><p>text {'abc'[i % 3]}</p></div>")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    out = {r["page_id"]: r["text"] for r in html_text.extract(docs).collect()}
+    assert {out[i] for i in range(30)} == {"copied text"}
+    assert {out[100 + i] for i in range(30)} == {"plain text"}
+    assert all(out[200 + i] == f"text {'abc'[i % 3]}" for i in range(30))
