@@ -42,6 +42,8 @@ NOISE_WORDS = set(
     " topbar toolbar copyright legal skip search comment comments reply replies respond disqus".split()
 )
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+# Elements of a head; anything else, text as well, ends one that is not closed.
+HEAD = set("base basefont bgsound head html link meta noscript script style template title".split())
 # A start of the first kind ends an open element of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -53,6 +55,33 @@ ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)(?:\s*=\s*("[^"]*"|'[^
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Place after the end tag of an element without markup that is open at ``at``, or the page's end."""
+    stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def _head_end(page: str, at: int) -> int:
+    """Place at which a head that is open at ``at`` ends: after its end tag, or before what cannot stand in it."""
+    while m := TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            return at
+        closing, tag = (m[1], m[2]) if m[2] else (m[4], m[5])
+        tag = (tag or "").lower()
+        if closing and tag == "head":
+            return m.end()
+        if tag and not closing and tag not in HEAD:
+            return m.start()
+        at = m.end()
+        if tag in RAW and tag != "head" and not closing:
+            past = _raw_end(page, tag, at)
+            if tag == "title" or past == len(page):  # one that is not closed ends with the head
+                early = re.compile(r"(?=</head\b|<body\b)", re.I).search(page, at, past)
+                past = early.start() if early else past
+            at = past
+    return at
+
+
 def _mark(text: str) -> int:
     raw = text.encode("utf-8", "surrogatepass")
     return zlib.crc32(raw) << 31 | zlib.crc32(raw[::-1]) >> 1
@@ -158,8 +187,7 @@ class _Page:
                     self.flush()
                 self.parts.append(" ")
             elif tag in RAW:
-                stop = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = _head_end(page, at) if tag == "head" else _raw_end(page, tag, at)
                 self.parts.append(" ")
             else:
                 self.open(tag, attributes or "")

@@ -99,3 +99,12 @@ def test_copies_keep_their_text_in_any_node(spark):
     assert {out[i] for i in range(30)} == {"copied text"}
     assert {out[100 + i] for i in range(30)} == {"plain text"}
     assert all(out[200 + i] == f"text {'abc'[i % 3]}" for i in range(30))
+
+
+def test_head_without_an_end():
+    assert text_of("<head><title>x</title><p>text") == ["text"]
+    assert text_of("<html><head><meta charset=a><title>x</title><script>'<p>no'</script><!-- <p> -->\n<div>a</div>b") == ["a", "b"]
+    assert text_of("<head><title>x</title>just text") == ["just text"]
+    assert text_of("<head><title>never closed</head><body><p>y") == ["y"]
+    assert text_of("<head><style>p{}<body><p>y") == ["y"]
+    assert text_of("<head><title>x</title><noscript><p>no</p></noscript></head><p>y") == ["y"]
