@@ -161,24 +161,18 @@ def train(
     most_positive: int = MOST_POSITIVE,
     most_unlabelled: int = MOST_UNLABELLED,
 ) -> Model | None:
-    """Fit on ``docs`` whose key is in ``positives``, against those whose key is not in ``labelled`` (single columns).
+    """Fit on ``docs`` whose key is in ``positives`` (a single column), against all of ``docs``, labelled or not.
 
-    The samples are bounded by the two parameters. Where every document is labelled, all of them stand in for the
-    unlabelled ones. None without positives or documents. Rows with a NULL key are unlabelled.
+    The samples are bounded by the two parameters. How many documents are in ``labelled`` does not change the fit:
+    all rows are the mixture whose prior is estimated. None without positives or documents.
     """
     ids = docs.select(own(key).alias("id"))
     known = positives.select(F.col(positives.columns[0]).alias("id")).distinct().withColumn("kind", F.lit(1))
-    other = labelled.select(F.col(labelled.columns[0]).alias("id")).distinct().withColumn("known", F.lit(True))
-    kinds = ids.join(known, "id", "left").join(other, "id", "left")
-    kinds = kinds.select("id", F.when(F.col("kind") == 1, 1).when(F.col("known"), 2).otherwise(0).alias("kind"))
-    counts = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
-    if not counts.get(1):
+    trusted = ids.join(known, "id")
+    if trusted.isEmpty():
         return None
-    used = kinds.where("kind = 1").unionByName(
-        kinds.where("kind = 0") if counts.get(0) else kinds.withColumn("kind", F.lit(0))
-    )
-    chosen = used.where("kind = 1").transform(sampled, "kind", most_positive).union(
-        used.where("kind = 0").transform(sampled, "kind", most_unlabelled)
+    chosen = trusted.transform(sampled, "kind", most_positive).union(
+        ids.withColumn("kind", F.lit(0)).transform(sampled, "kind", most_unlabelled)
     )
     # Bounded by the two parameters.
     chosen = F.broadcast(chosen.groupBy("id").agg(F.max("kind").alias("p"), F.min("kind").alias("u")))

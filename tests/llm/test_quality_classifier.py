@@ -43,3 +43,14 @@ def test_odd_rows(spark):
     assert q.classify(odd.empty(spark), model).count() == 0
     everything = docs.select("doc_id")
     assert q.train(docs, positives, everything.where("doc_id is not null")) is not None
+
+
+def test_one_unlabelled_row_does_not_decide(spark, monkeypatch):
+    monkeypatch.setattr(q, "fit", lambda p, u: (len(p), len(u)))
+    full = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    extra = full.union(spark.createDataFrame([(None, "text")], "doc_id long, text string"))
+    labels = full.select("doc_id")
+    positives = labels.where("doc_id < 20")
+    assert q.train(full, positives, labels) == (20, 60)
+    assert q.train(extra, positives, labels) == (20, 61)
+    assert q.train(full, positives, positives) == (20, 60)
