@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, sharding, token_counts
+from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, repeated_bytes, sharding, token_counts
 from .splits import held_out
 
 
@@ -114,7 +114,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_token_counts, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that stand in a string of 400 bytes found elsewhere, and what is left without them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeated_bytes.repeats(docs, keep=["doc_id"])
+    kept = repeated_bytes.kept_bytes(F.col("whole_text"), F.col("removed"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_token_counts, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash, op13_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
