@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, repeated_bytes, sharding, token_counts
+from . import conversation_trie, decontamination, html_text, language, license_scan, mixing, near_copies, quality_classifier, quality_rules, ranked_search, repeated_bytes, sharding, token_counts
 from .splits import held_out
 
 
@@ -114,6 +114,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", near_copies.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each with its borrowed head."""
+    turns = conversation_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.borrowed(turns))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for each benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document that stand in a string of 400 bytes found elsewhere, and what is left without them."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,7 +134,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_token_counts, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_token_counts, op4_language, op5_html_text, op6_quality_rules, op7_sharding, op8_decontamination, op9_quality_classifier, op10_simhash, op11_prefix_trie, op12_ranked_search, op13_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": r"""
@@ -160,4 +172,28 @@ bits AS (
     + 8192 * filler::BIGINT AS failures FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed,
   failures = 0 AS kept, failures FROM bits""",
+    "op12_ranked_search": r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+asked AS (
+  SELECT row_number() OVER () AS iid, item_id,
+    list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+item_terms AS (SELECT iid, unnest(ts) AS term FROM asked),
+sums AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS total FROM cut),
+damped AS (SELECT rid, doc_id, 10 + (90 * len(ts) * docs) // total AS m FROM cut, sums WHERE len(ts) > 0),
+words AS (SELECT rid, unnest(ts) AS term FROM cut),
+tfs AS (SELECT rid, term, count(*) AS tf FROM words SEMI JOIN item_terms USING (term) GROUP BY rid, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tfs, sums GROUP BY term, docs),
+scored AS (
+  SELECT iid, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM item_terms JOIN weights USING (term) JOIN tfs USING (term) JOIN damped USING (rid) GROUP BY iid, rid, doc_id),
+ranked AS (
+  SELECT iid, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN asked USING (iid) WHERE rank <= 10""",
 }
