@@ -225,24 +225,27 @@ def _range_rows(length: int, run: int, before: int, width: int):
     return rows
 
 
+def _twice(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Names that more than one row has. Stored, so that a join deals its own sides and can split a name of many rows."""
+    return stored(rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+
+
 def _judged(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Ranges done: the string around them stands twice. And those that go on, as their shared string stands twice.
 
     Counts are added up by each task first and joined back, so a string of a third of all rows is no task's work alone.
     A range that is done goes on, too, where an open one may match it further; of those equal all around, one is enough.
     """
-    names = ["t1", "t2", "a", "o", "near", "far"]
-    twice = rows.groupBy("o", "k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    live = rows.join(twice, ["o", "k1", "k2"], "left_semi")
+    names, shared, around = ["t1", "t2", "a", "o", "near", "far"], ["o", "k1", "k2"], ["o", "u1", "u2"]
+    live = rows.join(_twice(rows, shared), shared, "left_semi")
     if last:
         return stored(live.select(*names)), None
     live = stored(live)
-    twice = live.where("around").groupBy("o", "u1", "u2").agg(F.count("*").alias("n")).where("n > 1")
-    found = live.join(twice, ["o", "u1", "u2"], "left")
-    found = stored(found.withColumn("done", F.col("n").isNotNull() & F.col("around")).drop("n"))
+    found = live.join(_twice(live.where("around"), around).withColumn("met", F.lit(True)), around, "left")
+    found = stored(found.withColumn("done", F.col("met").isNotNull() & F.col("around")).drop("met"))
     done, left = found.where("done"), found.where("not done")
-    met = done.join(left.select("o", "k1", "k2").distinct(), ["o", "k1", "k2"], "left_semi")
-    met = met.groupBy("o", "u1", "u2").agg(F.min(F.struct("t1", "t2", "a", "near", "far")).alias("one"))
+    one = F.min(F.struct("t1", "t2", "a", "near", "far")).alias("one")
+    met = stored(done.groupBy(*shared, "u1", "u2").agg(one)).join(stored(left.select(*shared).distinct()), shared, "left_semi")
     met = met.select("one.t1", "one.t2", "one.a", "o", "one.near", "one.far")
     return done.select(*names), left.select(*names).union(met)
 
@@ -312,7 +315,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep: lis
     if left is not None:
         # Copies of a text count once from here on; that they are copies is known.
         place = F.struct("a", "near", "far")
-        opened = left.groupBy("t1", "t2").agg(F.collect_set(place).alias("places"))
+        opened = stored(left.groupBy("t1", "t2").agg(F.collect_set(place).alias("places")))
         contexts = texts.join(opened, ["t1", "t2"]).mapInPandas(_context_rows(length, run), CONTEXT_SCHEMA)
         contexts = stored(contexts.dropDuplicates(["t1", "t2", "a"]))
         asked = contexts.withColumn("starts", F.array(F.lit(0)))
