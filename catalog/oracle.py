@@ -316,7 +316,7 @@ FROM parts JOIN s a ON a.i = parts.lo + 1 JOIN s b ON b.i = parts.hi JOIN z ON z
 TRIAL = """
 SELECT event_id, user_id AS cluster, CASE WHEN value >= 40 THEN 1e0 ELSE 0e0 END AS y, event_type AS kind,
        CAST(ts AS DATE) > DATE '2024-01-12' AS post, hour(ts) >= 12 AS late,
-       CAST(json_extract(props, '$.k') AS DOUBLE) / 100e0 AS k
+       CAST(json_extract(props, '$.k') AS DOUBLE) / 100e0 AS k, day(ts) / 10e0 AS day, 'w' || (event_id % 3) AS ward
 FROM events
 """
 
@@ -406,6 +406,80 @@ def _one_step(terms: dict[str, str], pattern: list[str], trial: str = f"WITH tri
     return sql
 
 
+FACTOR_LEVELS = {
+    "gender": ["Female", "Male", "Unknown"],
+    "preRaceRecode": ["Asian", "Black", "Indigenous", "Latinx", "Other", "Unknown", "White"],
+    "problem": ["Suspicious Person (P)", "Traffic Law Enforcement (P)"],
+    "reason": ["Citizen / 9-1-1", "Investigative", "Unknown"],
+}
+
+
+def _eliminated(name: str, source: str, p: int) -> str:
+    """Gauss-Jordan elimination of a list of rows ``m`` of ``source``, whose first p columns become the identity."""
+    return f"""
+, {name}(k, m) AS (SELECT 0, m FROM {source} UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
+    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name} WHERE k < {p})
+"""
+
+
+def _one_step_fitted(terms: dict[str, str], trial: str, rounds: int = 8) -> str:
+    """One-step estimating equations of any design, the start by Newton's method. Leaves the same tables as _one_step.
+
+    ``terms`` are numeric expressions over ``trial``, which also has cluster and y.
+    """
+    p = len(terms)
+    design = ", ".join(f"({x})::DOUBLE" for x in terms.values())
+    identity = f"list_transform(range(1, {p} + 1), lambda j: CASE WHEN j = i THEN 1e0 ELSE 0e0 END)"
+    sql = trial.strip().replace("WITH ", "WITH RECURSIVE ", 1)
+    sql += f"""
+, design AS MATERIALIZED (SELECT cluster, y, [{design}] AS x FROM trial)
+, ii AS (SELECT unnest(range(1, {p} + 1)) AS i)
+, ij AS (SELECT i, j FROM ii, (SELECT unnest(range(1, {p} + 2)) AS j))
+, newton_b0 AS (SELECT list_transform(range(1, {p} + 1), lambda i: 0e0) AS b)"""
+    for r in range(1, rounds + 1):
+        sql += f"""
+, newton_m{r} AS MATERIALIZED (SELECT x, y, 1 / (1 + exp(-list_dot_product(x, b))) AS mu FROM design, newton_b{r - 1})
+, newton_g{r} AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM (
+    SELECT i, j, sum(x[i] * CASE WHEN j > {p} THEN y - mu ELSE x[j] * mu * (1 - mu) END) AS v FROM newton_m{r}, ij GROUP BY 1, 2) GROUP BY 1))
+{_eliminated(f'newton_s{r}', f'newton_g{r}', p)}
+, newton_b{r} AS MATERIALIZED (SELECT list_transform(b, lambda v, i: v + m[i][{p} + 1]) AS b FROM newton_b{r - 1}, newton_s{r} WHERE k = {p})"""
+
+    def sums(name: str, b: str) -> str:
+        return f"""
+, {name}_r AS MATERIALIZED (SELECT cluster, x, y, 1 / (1 + exp(-list_dot_product(x, b))) AS mu FROM design, {b})
+, {name}_n AS MATERIALIZED (SELECT cluster, count(*)::DOUBLE AS n, sum((y - mu) / sqrt(mu * (1 - mu))) AS se,
+    sum((y - mu) * (y - mu) / (mu * (1 - mu))) AS see FROM {name}_r GROUP BY 1)
+, {name}_t AS MATERIALIZED (SELECT cluster, list(a ORDER BY i) AS a, list(u ORDER BY i) AS u FROM (
+    SELECT cluster, i, sum(x[i] * sqrt(mu * (1 - mu))) AS a, sum(x[i] * (y - mu)) AS u FROM {name}_r, ii GROUP BY 1, 2) GROUP BY 1)"""
+
+    def inverse(name: str) -> str:
+        return f"""
+, {name}_g AS (SELECT i, j, sum(x[i] * x[j] * mu * (1 - mu)) AS v FROM {name}_r, ij WHERE j <= {p} GROUP BY 1, 2)
+, {name}_o AS (SELECT i, j, sum(rho / (1 - rho + n * rho) * a[i] * a[j]) AS v FROM {name}_t JOIN {name}_n USING (cluster), rho, ij WHERE j <= {p} GROUP BY 1, 2)
+, {name}_w AS MATERIALIZED (SELECT list(list_concat(r, {identity}) ORDER BY i) AS m FROM (
+    SELECT i, list(g.v - o.v ORDER BY j) AS r FROM {name}_g g JOIN {name}_o o USING (i, j) GROUP BY 1))
+{_eliminated(f'{name}_e', f'{name}_w', p)}
+, {name}_inv AS MATERIALIZED (SELECT i, j, m[i][{p} + j] AS v FROM {name}_e, ij WHERE k = {p} AND j <= {p})"""
+
+    return sql + f"""
+{sums('f', f'newton_b{rounds}')}
+, rho AS (SELECT sum((se * se - see) / 2) / sum(n * (n - 1) / 2) AS rho FROM f_n)
+{inverse('f')}
+, pull AS (SELECT i, sum(rho / (1 - rho + n * rho) * se * a[i]) AS s FROM f_t JOIN f_n USING (cluster), rho, ii GROUP BY 1)
+, b_step AS MATERIALIZED (SELECT list(b[i] - d ORDER BY i) AS b FROM newton_b{rounds}, (SELECT q.i, sum(q.v * pull.s) AS d FROM f_inv q JOIN pull ON pull.i = q.j GROUP BY 1))
+{sums('h', 'b_step')}
+{inverse('h')}
+, fixed_u AS MATERIALIZED (SELECT cluster, i, u[i] - rho / (1 - rho + n * rho) * a[i] * se AS u FROM h_t JOIN h_n USING (cluster), rho, ii)
+, meat AS (SELECT s.i, t.i AS j, sum(s.u * t.u) AS v FROM fixed_u s JOIN fixed_u t USING (cluster) GROUP BY 1, 2)
+, half AS (SELECT q.i, m.j, sum(q.v * m.v) AS v FROM h_inv q JOIN meat m ON m.i = q.j GROUP BY 1, 2)
+, cov AS (SELECT h.i - 1 AS i, q.j - 1 AS j, sum(h.v * q.v) AS v FROM half h JOIN h_inv q ON q.i = h.j GROUP BY 1, 2)
+, start AS (SELECT i - 1 AS i, b[i] AS b FROM newton_b{rounds}, ii)
+, step AS (SELECT i - 1 AS i, b[i] AS b FROM b_step, ii)
+, term AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}')" for i, n in enumerate(terms))}) AS t(i, term))
+"""
+
+
 def _estimates(digits: int) -> str:
     return f"""
 SELECT term, round(start.b, {digits}) AS beta_start, round(step.b, {digits}) AS beta, round(sqrt(cov.v), {digits}) AS se
@@ -597,16 +671,38 @@ SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * s), 6) AS lower
     races = fixed.MODEL_LEVELS[1:]
     battery_terms = {"(intercept)": "true"} | {f"raceRecode[{v}]": f"race = '{v}'" for v in races} | {"postPeriod": "post"}
     battery_terms |= {f"postPeriod:raceRecode[{v}]": f"post AND race = '{v}'" for v in races}
+    number = lambda condition: f"({condition})::INTEGER"
+    adjusted_terms = {"(intercept)": "1"} | {f"raceRecode[{v}]": number(f"race = '{v}'") for v in races}
+    for name, values in FACTOR_LEVELS.items():
+        adjusted_terms |= {f"{name}[{v}]": number(f"{name} = '{v}'") for v in values[1:]}
+    # Positions from a nearby point: only the intercept, which the odds do not hold, depends on it.
+    adjusted_terms |= {"veilAfterSunset": "veil", "lat": "lat - 44.98", "long": "long + 93.28", "postPeriod": number("post")}
+    adjusted_terms |= {f"postPeriod:raceRecode[{v}]": number(f"post AND race = '{v}'") for v in races}
+    battery = []
     for outcome in ("personSearch", "vehicleSearch"):
         trial = f"""{CLEAN}
-, trial AS (SELECT neighborhood AS cluster, CASE {outcome} WHEN 'YES' THEN 1e0 ELSE 0e0 END AS y, raceRecode AS race,
+, trial AS (SELECT neighborhood AS cluster, CASE WHEN ({outcome} = 'YES') <> (event_id % 29 = 3) THEN 1e0 ELSE 0e0 END AS y, raceRecode AS race,
+                   gender, preRaceRecode, problem, CASE WHEN reason IS NULL OR reason = '' THEN 'Unknown' ELSE reason END AS reason,
+                   veilAfterSunset AS veil, lat, long,
                    CAST(tm AS DATE) > DATE '2018-06-15' AS post FROM clean WHERE personSearch <> '' AND vehicleSearch <> '')"""
-        sql[f"gee_battery_{outcome}"] = _one_step(battery_terms, ["race", "post"], trial) + f"""
+        odds = f"""
 , pair AS (SELECT a.i, b.i AS j, a.term || ' + ' || b.term AS term FROM term a JOIN term b ON b.term = 'postPeriod:' || a.term)
 , val AS (SELECT pair.term, sa.b + sb.b AS b, sqrt(va.v + vb.v + 2 * vc.v) AS s FROM pair JOIN step sa ON sa.i = pair.i JOIN step sb ON sb.i = pair.j
           JOIN cov va ON va.i = pair.i AND va.j = pair.i JOIN cov vb ON vb.i = pair.j AND vb.j = pair.j JOIN cov vc ON vc.i = pair.i AND vc.j = pair.j)
-SELECT 'plain_{outcome}' AS model, term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * s), 6) AS lower, round(exp(b + {Z} * s), 6) AS upper FROM val"""
-    sql["gee_battery"] = " UNION ALL ".join(f"SELECT * FROM ({sql.pop(f'gee_battery_{o}')})" for o in ("personSearch", "vehicleSearch"))
+SELECT '%s' AS model, term, round(exp(b), 4) AS odds_ratio, round(exp(b - {Z} * s), 4) AS lower, round(exp(b + {Z} * s), 4) AS upper FROM val"""
+        battery.append(_one_step(battery_terms, ["race", "post"], trial) + odds % f"plain_{outcome}")
+        battery.append(_one_step_fitted(adjusted_terms, trial) + odds % f"adjusted_{outcome}")
+    sql["gee_battery"] = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in battery)
+    wards = {f"ward[w{i}]": f"(ward = 'w{i}')::INTEGER" for i in (1, 2)}
+    kinds = {f"kind[{k}]": f"(kind = '{k}')::INTEGER" for k in KINDS[1:]}
+    more = {f"post:kind[{k}]": f"(post AND kind = '{k}')::INTEGER" for k in KINDS[1:]}
+    fitted = {"(intercept)": "1"} | kinds | wards | {"day": "day", "k": "k", "post": "post::INTEGER"} | more
+    sql["gee_adjusted"] = _one_step_fitted(fitted, f"WITH trial AS ({TRIAL})") + _estimates(6)
+    sql["gee_dependent"] = f"""SELECT * FROM ({sql['gee_adjusted']}) UNION ALL
+SELECT term, NULL, NULL, NULL FROM (SELECT unnest(['twin[w1]', 'twin[w2]', 'both']) AS term)"""
+    sql["glm_separated"] = f"""
+WITH t AS ({TRIAL}), s AS (SELECT kind, post, CASE WHEN post AND kind = 'error' THEN 0 WHEN NOT post AND kind = 'view' THEN 1 ELSE y END AS y FROM t)
+SELECT kind, post, round(avg(y), 5) AS mean FROM s GROUP BY 1, 2"""
     sql["natural_breaks_quantity"] = _natural_breaks("lineitem", "l_quantity", 5)
 
     sql["csv_round_trip"] = f"""

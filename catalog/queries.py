@@ -637,15 +637,37 @@ def gee_adjusted(spark, sf_dir):
     return rounded(coefficients(spark, one_step_gee(_trial(spark, sf_dir), ADJUSTED, "cluster")))
 
 
+@query
+def gee_dependent(spark, sf_dir):
+    """Terms that earlier ones make up have no estimate: a twin of the ward, and a sum of two numbers."""
+    trial = _trial(spark, sf_dir).withColumn("twin", F.col("ward")).withColumn("both", F.col("k") * 2 - F.col("day"))
+    spec = BinaryModel("y", ["kind", "ward", "twin", "day", "k", "both", "post"], {"kind": KINDS, "ward": None, "twin": None}, "post", ["kind"])
+    return rounded(coefficients(spark, one_step_gee(trial, spec, "cluster")))
+
+
+@query
+def glm_separated(spark, sf_dir):
+    """A cell without a success and one without a failure: means are those of the cells, whatever the estimates."""
+    y = F.when(F.col("post") & (F.col("kind") == "error"), 0).when(~F.col("post") & (F.col("kind") == "view"), 1).otherwise(F.col("y"))
+    trial = _trial(spark, sf_dir).withColumn("y", y)
+    terms, beta = fit_glm(trial, SATURATED, "cluster")
+    means = predict(trial, SATURATED, terms, beta).groupBy("kind", "post").agg(F.avg("mean").alias("mean"))
+    return rounded(means, 5)
+
+
 @query
 def gee_battery(spark, sf_dir):
+    """The four standard models from two sets of passes: both outcomes, plain and adjusted.
+
+    One event in 29 has its outcomes turned round, as the made-up categories tell some outcomes without error.
+    """
     events = prep.clean_events(raw_events(spark, sf_dir))
-    results = search_models.fit_models(
-        search_models.model_events(events, "2018-06-15"),
-        {f"plain_{o}": search_models.search_model(o, False) for o in ("personSearch", "vehicleSearch")},
-    )
+    for c in ("personSearch", "vehicleSearch"):
+        other = F.when(F.col(c) == "YES", "NO").when(F.col(c) == "NO", "YES").otherwise(F.col(c))
+        events = events.withColumn(c, F.when(F.col("event_id") % 29 == 3, other).otherwise(F.col(c)))
+    results = search_models.search_battery(events, "2018-06-15")
     parts = [r.period_odds.withColumn("model", F.lit(name)) for name, r in results.items()]
-    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), 4)
 
 
 # Sources and sinks

@@ -103,13 +103,20 @@ class BinaryModel:
         return terms
 
 
-def complete_rows(df: DataFrame, model: BinaryModel, cluster: str) -> DataFrame:
-    """The model's columns of the rows that miss none of them; a value outside its level list counts as missing."""
-    columns = [F.col(cluster), F.col(model.outcome).cast("double").alias(model.outcome)]
+def complete_rows(
+    df: DataFrame, model: BinaryModel, cluster: str, outcomes: Sequence[str] | None = None
+) -> DataFrame:
+    """The model's columns of the rows that miss none of them; a value outside its level list counts as missing.
+
+    Of several ``outcomes`` a row may miss some, but not all.
+    """
+    outcomes = [model.outcome] if outcomes is None else outcomes
+    columns = [F.col(cluster), *[F.col(c).cast("double").alias(c) for c in outcomes]]
     for c in model.patterns:
         columns.append(with_levels(c, model.levels[c]).alias(c) if c in model.levels else F.col(c))
     columns += [F.col(c).cast("double").alias(c) for c in model.numbers]
-    present = [F.col(c).isNotNull() for c in (cluster, model.outcome, *model.patterns)]
+    present = [F.col(c).isNotNull() for c in (cluster, *model.patterns)]
+    present += [reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in outcomes])]
     present += [is_number(c) for c in model.numbers]
     return df.select(*columns).where(reduce(lambda a, b: a & b, present))
 

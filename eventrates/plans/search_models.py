@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from eventrates.functions import fixed_values as fixed
 from eventrates.functions.columns import after_date, fill_missing, level_code
@@ -18,10 +17,11 @@ from eventrates.operators.regression import (
     coefficients,
     contrast_odds_ratios,
     odds_ratios,
-    one_step_gee,
+    one_step_gees,
     period_pairs,
 )
 from eventrates.operators.series import days_since_first
+from eventrates.session import stored
 
 CATEGORY, PERIOD, CLUSTER = "raceRecode", "postPeriod", "neighborhood"
 
@@ -64,35 +64,45 @@ class ModelResult:
 
 
 def fit_models(events: DataFrame, models: dict[str, BinaryModel], cluster: str = CLUSTER) -> dict[str, ModelResult]:
-    """Fit several models on one table of just the columns they use, which is kept while they run."""
+    """Fit several models. Those that differ in their outcome alone share their rows and every pass over them.
+
+    The columns that the models use are stored once.
+    """
     used = {cluster}
     for model in models.values():
         used |= {model.outcome, *model.covariates, *model.period_interactions, *model.category_interactions}
         used |= {model.period} if model.period else set()
-    table = events.select(*sorted(used)).persist(StorageLevel.MEMORY_AND_DISK)
+    table = stored(events.select(*sorted(used)))
+    together: dict[str, list[str]] = {}
+    for name, model in models.items():
+        design = replace(model, outcome="")
+        same = next((d for d in together.values() if replace(models[d[0]], outcome="") == design), None)
+        if same is None:
+            together[name] = [name]
+        else:
+            same.append(name)
+    fits: dict[str, OneStepFit] = {}
+    for names in together.values():
+        fits |= zip(names, one_step_gees(table, [models[n] for n in names], cluster))
     spark, results = events.sparkSession, {}
-    try:
-        for name, model in models.items():
-            fit = one_step_gee(table, model, cluster)
-            first = next(iter(model.levels))
-            own = [t for t in fit.terms if t.startswith(f"{first}[")]
-            results[name] = ModelResult(
-                model,
-                fit,
-                coefficients(spark, fit),
-                odds_ratios(spark, fit, own),
-                contrast_odds_ratios(spark, fit, period_pairs(fit, model, first)),
-            )
-    finally:
-        table.unpersist()
+    for name, model in models.items():
+        first, fit = next(iter(model.levels)), fits[name]
+        own = [t for t in fit.terms if t.startswith(f"{first}[")]
+        results[name] = ModelResult(
+            model,
+            fit,
+            coefficients(spark, fit),
+            odds_ratios(spark, fit, own),
+            contrast_odds_ratios(spark, fit, period_pairs(fit, model, first)),
+        )
     return results
 
 
-def search_battery(events: DataFrame) -> dict[str, ModelResult]:
+def search_battery(events: DataFrame, cutoff: str = fixed.PERIOD_CUTOFF) -> dict[str, ModelResult]:
     """The four standard models: person and vehicle search, each plain and adjusted."""
     models = {
         f"{'adjusted' if adjusted else 'plain'}_{outcome}": search_model(outcome, adjusted)
         for outcome in ("personSearch", "vehicleSearch")
         for adjusted in (False, True)
     }
-    return fit_models(model_events(events), models)
+    return fit_models(model_events(events, cutoff), models)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,10 +91,7 @@ def model(numeric):
 
 
 @pytest.mark.parametrize("numeric", [False, True])
-@pytest.mark.parametrize("grouped", [True, False])
-def test_matches_cluster_loop(spark, monkeypatch, numeric, grouped):
-    if not grouped:
-        monkeypatch.setattr(reg, "START_PATTERNS", 0)
+def test_matches_cluster_loop(spark, numeric):
     rows = sample()
     fit = reg.one_step_gee(to_df(spark, rows), model(numeric), "cluster")
     beta, rho, stepped, cov = plain_fit(
@@ -157,16 +156,72 @@ def test_unused_level_is_reported(spark):
     assert last[0]["beta"] is None
 
 
-def test_separated_and_singleton_clusters(spark):
+def test_separated_outcome(spark):
+    """One cell without successes: an estimate with a warning; means and the other terms are those of the cells."""
     rows = [("k%d" % (i % 5), 0 if i % 3 == 0 else i % 2, LEVELS[i % 3], i % 4 < 2, 1.0, 2.0) for i in range(300)]
-    with pytest.raises(reg.SeparatedOutcome):
-        reg.one_step_gee(to_df(spark, rows), model(False), "cluster")
+    with pytest.warns(reg.SeparatedOutcome, match="intercept"):
+        fit = reg.one_step_gee(to_df(spark, rows), model(False), "cluster")
+    assert np.isfinite(fit.beta).all() and np.isfinite(fit.covariance).all() and fit.beta_start[0] < -12
+    with pytest.warns(reg.SeparatedOutcome):
+        terms, beta = reg.fit_glm(to_df(spark, rows), model(False), "cluster")
+    by = dict(zip(terms, beta))
+    for g in ("b", "c"):
+        hits = [r[1] for r in rows if r[2] == g and not r[3]]
+        assert by["(intercept)"] + by[f"grp[{g}]"] == pytest.approx(np.log(sum(hits) / (len(hits) - sum(hits))), abs=1e-6)
+
+
+def test_rare_outcome_is_not_separated(spark, recwarn):
+    """One success in very many rows needs many steps, but has a finite estimate."""
+    df = spark.range(400_000).selectExpr(
+        "concat('k', id % 40) AS cluster", "cast(id = 7 AS int) AS y", "if(id % 2 = 0, 'a', 'b') AS grp",
+        "id % 3 = 0 AS post", "1.0D AS size", "2.0D AS lat",
+    )
+    terms, beta = reg.fit_glm(df, BinaryModel("y", [], {}), "cluster")
+    assert terms == ["(intercept)"] and beta[0] == pytest.approx(-np.log(399_999), abs=1e-8)
+    assert not [w for w in recwarn if issubclass(w.category, reg.SeparatedOutcome)]
+
+
+def test_singleton_clusters(spark):
     lone = [(f"k{i}", i % 2, LEVELS[(i // 2) % 3], (i // 6) % 2 == 0, 1.0, 2.0) for i in range(240)]
     with pytest.raises(reg.UndefinedCorrelation):
         reg.one_step_gee(to_df(spark, lone), model(False), "cluster")
     assert reg.cluster_correlation(to_df(spark, lone), model(False), "cluster").first()["rho"] is None
 
 
+def test_dependent_terms_have_no_estimate(spark):
+    """The later of two dependent terms is left out, as if it had not been asked for."""
+    rows = [(*r[:4], 3.0 * (r[2] == "b") - 2.0 * (r[2] == "c") + 1.0, r[5]) for r in sample(rows=900)]
+    df = to_df(spark, rows).withColumn("twin", F.col("grp")).withColumn("sum", F.col("lat") * 2 + F.col("size"))
+    spec = BinaryModel("y", ["grp", "size", "lat", "twin", "sum", "post"], {"grp": LEVELS, "twin": None}, "post", ["grp"])
+    with pytest.warns(UserWarning, match="twin"):
+        fit = reg.one_step_gee(df, spec, "cluster")
+    assert fit.aliased == ["size", "twin[b]", "twin[c]", "sum"]
+    less = BinaryModel("y", ["grp", "lat", "post"], {"grp": LEVELS}, "post", ["grp"])
+    plain = reg.one_step_gee(df, less, "cluster")
+    assert fit.terms == plain.terms
+    np.testing.assert_allclose(fit.beta, plain.beta, rtol=1e-7)
+    np.testing.assert_allclose(fit.covariance, plain.covariance, rtol=1e-6, atol=1e-9)
+    missing = reg.coefficients(spark, fit).where("beta IS NULL").collect()
+    assert [r["term"] for r in missing] == fit.aliased
+
+
+def test_outcomes_fitted_together(spark):
+    """Two outcomes in the same passes, some rows without the second, give what each gives alone."""
+    df = to_df(spark, sample(rows=1200)).withColumn("z", F.when(F.col("size") > 0.5, (F.col("lat") > 44.99).cast("int")))
+    df = df.withColumn("z", F.when(F.hash("lat") % 7 == 0, 1 - F.col("z")).otherwise(F.col("z")))
+    for numeric in (False, True):
+        first = model(numeric) if not numeric else BinaryModel("y", ["grp", "lat", "post"], {"grp": LEVELS}, "post", ["grp"])
+        second = replace(first, outcome="z")
+        both = reg.one_step_gees(df, [first, second], "cluster")
+        for fit, spec in zip(both, (first, second)):
+            alone = reg.one_step_gee(df, spec, "cluster")
+            assert (fit.rows, fit.clusters, fit.terms) == (alone.rows, alone.clusters, alone.terms)
+            np.testing.assert_allclose(fit.beta, alone.beta, rtol=1e-8)
+            np.testing.assert_allclose(fit.covariance, alone.covariance, rtol=1e-7)
+    with pytest.raises(ValueError, match="outcome"):
+        reg.one_step_gees(df, [model(False), replace(model(True), outcome="z")], "cluster")
+
+
 def test_number_interactions(spark):
     rows = sample(rows=900)
     spec = BinaryModel(
@@ -197,18 +252,24 @@ def test_design_matrix_rows(spark):
 
 def test_many_levels(spark):
     rng = np.random.default_rng(8)
-    n, levels = 6000, 300
+    n, levels = 12_000, 300
     code = rng.integers(0, levels, n)
     x = rng.normal(size=n)
-    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 * x + np.sin(code))))).astype(int)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 * x + 0.4 * np.sin(code))))).astype(int)
     rows = [(int(i % 40), int(a), f"L{b:03d}", float(c)) for i, (a, b, c) in enumerate(zip(y, code, x))]
     df = spark.createDataFrame(rows, "cluster int, y int, kind string, x double")
-    prep = reg._prepare(df, BinaryModel("y", ["kind", "x"], {"kind": None}), "cluster")
-    beta = rng.normal(size=len(prep.terms))
-    got = prep.rows.withColumn("eta", reg._linear(prep, beta)).select("kind", "x", "eta").collect()
-    names = {(t.where[0][1] if t.where else None, t.number): b for t, b in zip(prep.terms, beta)}
-    for r in got[::50]:
-        want = names[(None, None)] + names.get((r["kind"], None), 0.0) + names[(None, "x")] * r["x"]
-        assert abs(r["eta"] - want) < 1e-9
-    score, gram, _ = reg._score_and_gram(reg._moments(prep, beta, False), prep)
-    assert gram.shape == (len(beta), len(beta)) and np.isfinite(score).all()
+    spec = BinaryModel("y", ["kind", "x"], {"kind": None})
+    fit = reg.one_step_gee(df, spec, "cluster")
+    held = np.zeros((n, levels + 1))
+    held[:, 0], held[np.arange(n), code], held[:, levels] = 1, 1, x
+    held[:, 0] = 1
+    beta, rho, stepped, cov = plain_fit(held, y, np.arange(n) % 40)
+    assert fit.rho == pytest.approx(rho, rel=1e-7)
+    np.testing.assert_allclose(fit.beta, stepped, rtol=1e-6, atol=1e-7)
+    np.testing.assert_allclose(fit.covariance, cov, rtol=1e-5, atol=1e-8)
+
+
+def test_sums_leave_tasks_as_one_row(spark):
+    df = spark.range(1000).repartition(9)
+    total = reg._add_up(df, lambda pdf: np.full(50_000, float(pdf["id"].sum())), 50_000)
+    assert (total == 499_500).all()
