@@ -711,13 +711,14 @@ SELECT event_id::DOUBLE AS event_id, neighborhood, problem, gender, race, preRac
        strftime(tm, '%Y/%m/%d %H:%M:%S') || '+00' AS responseDate, lat, long FROM raw"""
     sql["tsv_round_trip"] = sql["high_rate_areas"]
     sql["year_layers_round_trip"] = f"{ORDER_RATES} SELECT YEAR, NAME, NStopsTotal FROM rates"
+    sql["layer_replaced"] = f"{ORDER_RATES} SELECT YEAR, NAME, CASE WHEN YEAR = 1994 THEN NStopsTotal + 1000 ELSE NStopsTotal END AS NStopsTotal FROM rates"
     sql["measure_outputs_round_trip"] = sql["class_tables"]
     sql["agreement_many_levels"] = """
 WITH p AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) AS i FROM (SELECT DISTINCT l_partkey FROM lineitem)),
 o AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS j FROM (SELECT DISTINCT l_orderkey FROM lineitem))
 SELECT round(count(*) FILTER (i = j) / count(*)::DOUBLE, 8) AS agreement FROM lineitem JOIN p USING (l_partkey) JOIN o USING (l_orderkey)"""
-    picked = ("pop_tot", "race_blk", "crowd_num4")
-    place = {v: list(fixed.VARIABLE_CODES).index(v) for v in picked}
+    picked = list(fixed.VARIABLE_CODES)
+    place = {v: i for i, v in enumerate(picked)}
     cells = ", ".join(f"{_demographic(v)} AS {v}E, {place[v]}e0 AS {v}M" for v in picked)
-    sql["demographics_round_trip"] = f"SELECT YEAR, GEOID, NAME, {cells} FROM ({DEMOGRAPHIC_BASE}) WHERE YEAR IN (2018, 2019) AND n_nationkey < 10"
+    sql["demographics_round_trip"] = f"SELECT YEAR, GEOID, NAME, {cells} FROM ({DEMOGRAPHIC_BASE}) WHERE n_nationkey < 10"
     return sql

@@ -702,6 +702,16 @@ def year_layers_round_trip(spark, sf_dir):
     return readers.read_areas(spark, path).select("YEAR", "NAME", "NStopsTotal")
 
 
+@query
+def layer_replaced(spark, sf_dir):
+    """Layers of three years, of which one is written again from other rows: the other two stay."""
+    path = _scratch(spark)
+    layers = _order_rates(spark, sf_dir).select("YEAR", "NAME", "NStopsTotal")
+    writers.write_table(layers, path)
+    writers.write_table(layers.where("YEAR = 1994").withColumn("NStopsTotal", F.col("NStopsTotal") + 1000), path)
+    return readers.read_areas(spark, path).select("YEAR", "NAME", "NStopsTotal")
+
+
 @query
 def measure_outputs_round_trip(spark, sf_dir):
     path = _scratch(spark)
@@ -719,5 +729,5 @@ def agreement_many_levels(spark, sf_dir):
 def demographics_round_trip(spark, sf_dir):
     path = _scratch(spark)
     writers.write_snapshot(demographics_long(spark, sf_dir), path)
-    codes = {n: fixed.VARIABLE_CODES[n] for n in ("pop_tot", "race_blk", "crowd_num4")}
-    return readers.read_demographics(spark, path, codes, "2705300000", [2018, 2019])
+    years = [2017, 2018, 2019]
+    return readers.read_demographics(spark, path, fixed.VARIABLE_CODES, "2705300000", years)

@@ -85,55 +85,149 @@ SHARE_AGE_BANDS = {
     "55_64": ("55_59", "62_64"),
     "65plus": ("65_66", "85_plus"),
 }
-# Cells of the origin and schooling tables in source order.
-ORIGIN_CELLS = ["tot", "wht", "blk", "ind", "asn", "hwn", "oth", "2more", "2more_oth", "2more_nonoth"]
-SCHOOL_CELLS = [
-    "none", "nursery", "gr_5_6", "gr_7_8", "gr_9", "gr_10", "gr_11", "gr_12_nodip", "gr_hs_grad", "coll_1yrless",
-    "coll_1yrmore", "assoc", "bach", "mast", "prof", "doct",
-]
-
-
-def _run(table: str, first: int, names: list[str]) -> dict[str, str]:
-    """Consecutive cells of one source table."""
-    return {name: f"{table}_{first + i:03d}" for i, name in enumerate(names)}
 
 
-# Variable name -> source code.
+# Variable name -> source code. "fast" is how the source list spells the women's master's cell.
 VARIABLE_CODES = {
     "pop_tot": "B01003_001",
     "pop_male": "B01001_002",
     "pop_female": "B01001_026",
-    **_run("B02001", 1, ["race_tot", "race_wht", "race_blk"]),
+    "race_tot": "B02001_001",
+    "race_wht": "B02001_002",
+    "race_blk": "B02001_003",
     "hisp_tot": "B03002_001",
-    **_run("B03002", 2, [f"hisp_no_{c}" for c in ORIGIN_CELLS]),
-    **_run("B03002", 12, [f"hisp_yes_{c}" for c in ORIGIN_CELLS]),
+    "hisp_no_tot": "B03002_002",
+    "hisp_no_wht": "B03002_003",
+    "hisp_no_blk": "B03002_004",
+    "hisp_no_ind": "B03002_005",
+    "hisp_no_asn": "B03002_006",
+    "hisp_no_hwn": "B03002_007",
+    "hisp_no_oth": "B03002_008",
+    "hisp_no_2more": "B03002_009",
+    "hisp_no_2more_oth": "B03002_010",
+    "hisp_no_2more_nonoth": "B03002_011",
+    "hisp_yes_tot": "B03002_012",
+    "hisp_yes_wht": "B03002_013",
+    "hisp_yes_blk": "B03002_014",
+    "hisp_yes_ind": "B03002_015",
+    "hisp_yes_asn": "B03002_016",
+    "hisp_yes_hwn": "B03002_017",
+    "hisp_yes_oth": "B03002_018",
+    "hisp_yes_2more": "B03002_019",
+    "hisp_yes_2more_oth": "B03002_020",
+    "hisp_yes_2more_nonoth": "B03002_021",
     "inc_med": "B06011_001",
     "edu_tot": "B15002_001",
-    **_run("B15002", 2, ["edu_tot_m", *[f"edu_tot_m_{c}" for c in SCHOOL_CELLS]]),
-    # The source list spells the women's master's cell "fast".
-    **_run("B15002", 19, ["edu_tot_f", *[f"edu_tot_f_{c}".replace("mast", "fast") for c in SCHOOL_CELLS]]),
+    "edu_tot_m": "B15002_002",
+    "edu_tot_m_none": "B15002_003",
+    "edu_tot_m_nursery": "B15002_004",
+    "edu_tot_m_gr_5_6": "B15002_005",
+    "edu_tot_m_gr_7_8": "B15002_006",
+    "edu_tot_m_gr_9": "B15002_007",
+    "edu_tot_m_gr_10": "B15002_008",
+    "edu_tot_m_gr_11": "B15002_009",
+    "edu_tot_m_gr_12_nodip": "B15002_010",
+    "edu_tot_m_gr_hs_grad": "B15002_011",
+    "edu_tot_m_coll_1yrless": "B15002_012",
+    "edu_tot_m_coll_1yrmore": "B15002_013",
+    "edu_tot_m_assoc": "B15002_014",
+    "edu_tot_m_bach": "B15002_015",
+    "edu_tot_m_mast": "B15002_016",
+    "edu_tot_m_prof": "B15002_017",
+    "edu_tot_m_doct": "B15002_018",
+    "edu_tot_f": "B15002_019",
+    "edu_tot_f_none": "B15002_020",
+    "edu_tot_f_nursery": "B15002_021",
+    "edu_tot_f_gr_5_6": "B15002_022",
+    "edu_tot_f_gr_7_8": "B15002_023",
+    "edu_tot_f_gr_9": "B15002_024",
+    "edu_tot_f_gr_10": "B15002_025",
+    "edu_tot_f_gr_11": "B15002_026",
+    "edu_tot_f_gr_12_nodip": "B15002_027",
+    "edu_tot_f_gr_hs_grad": "B15002_028",
+    "edu_tot_f_coll_1yrless": "B15002_029",
+    "edu_tot_f_coll_1yrmore": "B15002_030",
+    "edu_tot_f_assoc": "B15002_031",
+    "edu_tot_f_bach": "B15002_032",
+    "edu_tot_f_fast": "B15002_033",
+    "edu_tot_f_prof": "B15002_034",
+    "edu_tot_f_doct": "B15002_035",
     "pov": "B17001_002",
     "pov_tot": "B17001_001",
     "unemp1": "C23002A_008",
     "unemp3": "C23002A_021",
     "unemp_tot1": "C23002A_006",
     "unemp_tot3": "C23002A_019",
-    **_run("B25024", 7, ["build1", "build2", "build3"]),
+    "build1": "B25024_007",
+    "build2": "B25024_008",
+    "build3": "B25024_009",
     "build_tot": "B25024_001",
     "vehicle": "B08141_002",
     "vehicle_tot": "B08141_001",
-    **_run("B01001", 3, [f"age_tot_m_{c}" for c in AGE_CELLS]),
-    **_run("B01001", 27, [f"age_tot_f_{c}" for c in AGE_CELLS]),
+    "age_tot_m_5below": "B01001_003",
+    "age_tot_m_5_9": "B01001_004",
+    "age_tot_m_10_14": "B01001_005",
+    "age_tot_m_15_17": "B01001_006",
+    "age_tot_m_18_19": "B01001_007",
+    "age_tot_m_20": "B01001_008",
+    "age_tot_m_21": "B01001_009",
+    "age_tot_m_22_24": "B01001_010",
+    "age_tot_m_25_29": "B01001_011",
+    "age_tot_m_30_34": "B01001_012",
+    "age_tot_m_35_39": "B01001_013",
+    "age_tot_m_40_44": "B01001_014",
+    "age_tot_m_45_49": "B01001_015",
+    "age_tot_m_50_54": "B01001_016",
+    "age_tot_m_55_59": "B01001_017",
+    "age_tot_m_60_61": "B01001_018",
+    "age_tot_m_62_64": "B01001_019",
+    "age_tot_m_65_66": "B01001_020",
+    "age_tot_m_67_69": "B01001_021",
+    "age_tot_m_70_74": "B01001_022",
+    "age_tot_m_75_79": "B01001_023",
+    "age_tot_m_80_84": "B01001_024",
+    "age_tot_m_85_plus": "B01001_025",
+    "age_tot_f_5below": "B01001_027",
+    "age_tot_f_5_9": "B01001_028",
+    "age_tot_f_10_14": "B01001_029",
+    "age_tot_f_15_17": "B01001_030",
+    "age_tot_f_18_19": "B01001_031",
+    "age_tot_f_20": "B01001_032",
+    "age_tot_f_21": "B01001_033",
+    "age_tot_f_22_24": "B01001_034",
+    "age_tot_f_25_29": "B01001_035",
+    "age_tot_f_30_34": "B01001_036",
+    "age_tot_f_35_39": "B01001_037",
+    "age_tot_f_40_44": "B01001_038",
+    "age_tot_f_45_49": "B01001_039",
+    "age_tot_f_50_54": "B01001_040",
+    "age_tot_f_55_59": "B01001_041",
+    "age_tot_f_60_61": "B01001_042",
+    "age_tot_f_62_64": "B01001_043",
+    "age_tot_f_65_66": "B01001_044",
+    "age_tot_f_67_69": "B01001_045",
+    "age_tot_f_70_74": "B01001_046",
+    "age_tot_f_75_79": "B01001_047",
+    "age_tot_f_80_84": "B01001_048",
+    "age_tot_f_85_plus": "B01001_049",
     "noHS_num": "B06009_002",
     "noHS_denom": "B06009_001",
     "manageprof_num": "B08124_002",
     "manageprof_denom": "B08124_001",
-    **_run("B25014", 5, ["crowd_num1", "crowd_num2", "crowd_num3"]),
-    **_run("B25014", 11, ["crowd_num4", "crowd_num5", "crowd_num6"]),
+    "crowd_num1": "B25014_005",
+    "crowd_num2": "B25014_006",
+    "crowd_num3": "B25014_007",
+    "crowd_num4": "B25014_011",
+    "crowd_num5": "B25014_012",
+    "crowd_num6": "B25014_013",
     "crowd_denom": "B25014_001",
     "pubassist_num": "B19058_002",
     "pubassist_denom": "B19058_001",
-    **_run("B19001", 2, [f"incunder30_num{i}" for i in range(1, 6)]),
+    "incunder30_num1": "B19001_002",
+    "incunder30_num2": "B19001_003",
+    "incunder30_num3": "B19001_004",
+    "incunder30_num4": "B19001_005",
+    "incunder30_num5": "B19001_006",
     "incunder30_denom": "B19001_001",
 }
 

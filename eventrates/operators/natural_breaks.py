@@ -51,29 +51,41 @@ class _Summary:
     cuts: list[int] = field(default_factory=list)
 
 
-def _bin_index(value: Column, pending: Sequence[tuple[float, float, int]]) -> Column:
-    """Running number of the fine bin a value falls in; missing outside all ranges. Ranges are data, not branches."""
-    firsts = np.concatenate([[0], np.cumsum([p for _, _, p in pending])]).tolist()
-
-    def listed(values: Sequence) -> Column:
-        return F.array(*[F.lit(v) for v in values])
-
-    at = F.size(F.filter(listed([low for low, _, _ in pending]), lambda low: low <= value)) - 1
-    low, high = F.get(listed([r[0] for r in pending]), at), F.get(listed([r[1] for r in pending]), at)
-    parts = F.get(listed([r[2] for r in pending]), at)
-    place = F.when(high > low, F.floor((value - low) / (high - low) * parts)).otherwise(0)
-    inside = (at >= 0) & (value <= high)
-    return F.when(inside, F.get(listed(firsts), at) + F.least(place, parts - 1))
+def _count_bins(values: DataFrame, work: dict[str, _Summary]) -> dict[str, np.ndarray]:
+    """One pass over (m, v, n) for the pending ranges of all measures; a bounded number of bins comes back.
 
+    A value's range is found by halving the ranges' lower ends, one column a turn, in generated code; ranges are data.
+    """
 
-def _count_bins(values: DataFrame, work: dict[str, _Summary]) -> dict[str, np.ndarray]:
-    """One pass over (m, v, n) for the pending ranges of all measures; a bounded number of bins comes back."""
-    index, d = F.lit(None).cast("long"), F.lit(None).cast("double")
-    for name, summary in work.items():
-        own = F.col("m") == name
-        index = F.when(own, _bin_index(F.col("v"), summary.pending)).otherwise(index)
-        d = F.when(own, F.col("v") - F.lit(summary.center)).otherwise(d)
-    binned = values.select("m", "v", "n", index.alias("b"), d.alias("d")).where(F.col("b").isNotNull())
+    def own(of: dict[str, list] | dict[str, float]) -> Column:
+        """The measure's own array or number."""
+        out = F.lit(None)
+        for name, value in of.items():
+            held = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+            out = F.when(F.col("m") == name, held).otherwise(out)
+        return out
+
+    def at(of: dict[str, list], place: Column) -> Column:
+        out = F.lit(None)
+        for name, value in of.items():
+            out = F.when(F.col("m") == name, F.get(F.array(*[F.lit(v) for v in value]), place)).otherwise(out)
+        return out
+
+    lows = {c: [r[0] for r in s.pending] for c, s in work.items()}
+    highs = {c: [r[1] for r in s.pending] for c, s in work.items()}
+    parts = {c: [r[2] for r in s.pending] for c, s in work.items()}
+    firsts = {c: np.concatenate([[0], np.cumsum(p)])[:-1].tolist() for c, p in parts.items()}
+    asked = values.select("m", "v", "n").where(F.col("m").isin(list(work)))
+    asked = asked.withColumn("d", F.col("v") - own({c: s.center for c, s in work.items()}))
+    asked = asked.withColumn("at", F.lit(-1))
+    step = 1 << max(0, max(map(len, lows.values())).bit_length() - 1)
+    while step:
+        further = F.coalesce(at(lows, F.col("at") + step) <= F.col("v"), F.lit(False))
+        asked = asked.withColumn("at", F.when(further, F.col("at") + step).otherwise(F.col("at")))
+        step >>= 1
+    asked = asked.where(F.col("at") >= 0).select("*", *[at(x, F.col("at")).alias(c) for c, x in (("low", lows), ("high", highs), ("parts", parts), ("first", firsts))])
+    place = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("parts"))).otherwise(0)
+    binned = asked.where(F.col("v") <= F.col("high")).withColumn("b", F.col("first") + F.least(place, F.col("parts") - 1))
     n = F.col("n")
     rows = (
         binned.groupBy("m", "b")
@@ -100,6 +112,14 @@ class _Costs:
             spread = self.square[stops][None, :] - self.square[starts][:, None] - s * s / n
         return np.where((n > 0) & (stops[None, :] > starts[:, None]), np.maximum(spread, 0.0), 0.0)
 
+    def runs(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Deviation of bins start..stop-1 for pairs of starts and later stops."""
+        n = self.count[stops] - self.count[starts]
+        s = self.total[stops] - self.total[starts]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            spread = self.square[stops] - self.square[starts] - s * s / n
+        return np.where(n > 0, np.maximum(spread, 0.0), 0.0)
+
 
 def _blocks(m: int) -> list[slice]:
     """Slices of 0..m-1 whose tables against all m stay within a fixed size."""
@@ -108,18 +128,45 @@ def _blocks(m: int) -> list[slice]:
 
 
 def _best_cuts(bins: np.ndarray, k: int) -> tuple[list[int], float]:
-    """Best partition along bin borders and its deviation."""
+    """Best partition along bin borders and its deviation.
+
+    The best last cut moves up with the end of the run, so the ends are solved by halves: the cut of a middle end bounds
+    the cuts of those on either side. All middles of a depth are worked on together, k m log m costs in all.
+    """
     m = len(bins)
     ends = np.arange(m + 1)
     costs = _Costs(bins)
     best = np.where(ends > 0, costs.table(ends[:1], ends)[0], np.inf)
     origin = []
     for _ in range(1, k):
-        step, through = np.empty(m + 1, dtype=np.int64), np.empty(m + 1)
-        for block in _blocks(m + 1):
-            table = best[:, None] + costs.table(ends, ends[block])
-            table[ends[:, None] >= ends[block][None, :]] = np.inf
-            step[block], through[block] = np.argmin(table, axis=0), np.min(table, axis=0)
+        step, through = np.zeros(m + 1, dtype=np.int64), np.full(m + 1, np.inf)
+        # Open stretches of ends, and the cuts that their middles may have.
+        low, high = np.array([1]), np.array([m])
+        first, last = np.array([0]), np.array([m - 1])
+        while len(low):
+            middle = (low + high) // 2
+            stop = np.minimum(last, middle - 1)
+            counts = np.maximum(stop - first + 1, 0)
+            offsets = np.cumsum(counts) - counts
+            owner = np.repeat(np.arange(len(middle)), counts)
+            cut = first[owner] + np.arange(counts.sum()) - offsets[owner]
+            total = best[cut] + costs.runs(cut, middle[owner])
+            used = np.flatnonzero(counts)
+            least = np.minimum.reduceat(total, offsets[used])
+            through[middle[used]] = least
+            hit = np.flatnonzero(total == np.repeat(least, counts[used]))
+            seen, where = np.unique(owner[hit], return_index=True)
+            step[middle[seen]] = cut[hit[where]]
+            chosen = np.where(np.isfinite(through[middle]), step[middle], first)
+            # Ends too short for so many classes have no cut and bound nothing.
+            some = np.isfinite(through[middle])
+            left, right = low < middle, middle < high
+            low, high, first, last = (
+                np.concatenate([low[left], middle[right] + 1]),
+                np.concatenate([middle[left] - 1, high[right]]),
+                np.concatenate([first[left], np.where(some, chosen, first)[right]]),
+                np.concatenate([np.where(some, chosen, last)[left], last[right]]),
+            )
         origin.append(step)
         best = through
     cuts, stop = [], m

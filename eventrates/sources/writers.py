@@ -1,4 +1,4 @@
-"""Writers. All overwrite; none collects rows, so each output is a folder of part files."""
+"""Writers. All overwrite what they write; none collects rows, so each output is a folder of part files."""
 
 from __future__ import annotations
 
@@ -20,8 +20,9 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("YEAR",)) -> None:
-    """Parquet, one folder per partition value (period)."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Parquet, one folder per partition value (period). Only the periods that ``df`` has are replaced; others stay."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -32,6 +33,8 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 def write_by_measure(long: DataFrame, path: str, measure: str = "measure", period: str = "YEAR") -> None:
     """One folder per (measure, period) of a long table.
 
-    The rebalance hint gathers small slices into few files and lets the adaptive plan split a large one.
+    The rebalance hint gathers small slices into few files and lets the adaptive plan split a large one. Only the
+    slices that ``long`` has are replaced.
     """
-    long.hint("rebalance", measure, period).write.mode("overwrite").partitionBy(measure, period).parquet(path)
+    writer = long.hint("rebalance", measure, period).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(measure, period).parquet(path)

@@ -41,6 +41,24 @@ def test_layers_are_overwritten_and_split_by_year(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(YEAR" in plan
 
 
+def test_one_layer_is_replaced_and_the_others_stay(spark, tmp_path):
+    path = str(tmp_path / "layers")
+    writers.write_table(spark.createDataFrame([(y, "A") for y in (2017, 2018, 2019)], "YEAR int, NAME string"), path)
+    writers.write_table(spark.createDataFrame([(2018, "B"), (2018, "C")], "YEAR int, NAME string"), path)
+    back = sorted((r["YEAR"], r["NAME"]) for r in readers.read_areas(spark, path).collect())
+    assert back == [(2017, "A"), (2018, "B"), (2018, "C"), (2019, "A")]
+
+
+def test_rings_come_back(spark, tmp_path):
+    path = str(tmp_path / "areas")
+    rings = [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)], [(0.1, 0.1), (0.2, 0.1), (0.1, 0.2), (0.1, 0.1)]]
+    df = spark.createDataFrame([(2017, "A", rings), (2018, "B", rings[:1])], "YEAR int, GEOID string, rings array<array<struct<x:double,y:double>>>")
+    writers.write_table(df, path)
+    back = readers.read_areas(spark, path).select(*df.columns)
+    assert dict(back.dtypes)["rings"] == "array<array<struct<x:double,y:double>>>"
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
 def test_one_output_per_measure_and_year(spark, tmp_path):
     path = str(tmp_path / "classes")
     df = spark.createDataFrame([(2017, "A", 1.0, 2.0), (2018, "A", 3.0, 4.0)], "YEAR int, NAME string, NStopsBlackRatePerStratum double, NStopsTotalRatePerCapita double")
