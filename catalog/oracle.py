@@ -415,11 +415,14 @@ FACTOR_LEVELS = {
 
 
 def _eliminated(name: str, source: str, p: int) -> str:
-    """Gauss-Jordan elimination of a list of rows ``m`` of ``source``, whose first p columns become the identity."""
+    """Gauss-Jordan elimination of a list of rows ``m`` of ``source``, whose first p columns become the identity.
+
+    Rows that earlier ones make up become zero, so their terms have coefficient and variance 0.
+    """
     return f"""
 , {name}(k, m) AS (SELECT 0, m FROM {source} UNION ALL
-  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
-    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name} WHERE k < {p})
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN abs(m[k + 1][k + 1]) < 1e-8 THEN CASE WHEN i = k + 1 THEN list_transform(r, lambda v: 0e0) ELSE r END
+    WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1]) ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name} WHERE k < {p})
 """
 
 
@@ -689,9 +692,10 @@ SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * s), 6) AS lower
 , pair AS (SELECT a.i, b.i AS j, a.term || ' + ' || b.term AS term FROM term a JOIN term b ON b.term = 'postPeriod:' || a.term)
 , val AS (SELECT pair.term, sa.b + sb.b AS b, sqrt(va.v + vb.v + 2 * vc.v) AS s FROM pair JOIN step sa ON sa.i = pair.i JOIN step sb ON sb.i = pair.j
           JOIN cov va ON va.i = pair.i AND va.j = pair.i JOIN cov vb ON vb.i = pair.j AND vb.j = pair.j JOIN cov vc ON vc.i = pair.i AND vc.j = pair.j)
-SELECT '%s' AS model, term, round(exp(b), 4) AS odds_ratio, round(exp(b - {Z} * s), 4) AS lower, round(exp(b + {Z} * s), 4) AS upper FROM val"""
+SELECT '%s' AS model, term, round(exp(b), 4) AS odds_ratio, round(exp(b - {Z} * s), 4) AS lower, round(exp(b + {Z} * s), 4) AS upper FROM val WHERE known"""
         battery.append(_one_step(battery_terms, ["race", "post"], trial) + odds % f"plain_{outcome}")
         battery.append(_one_step_fitted(adjusted_terms, trial) + odds % f"adjusted_{outcome}")
+    battery = [q.replace("sqrt(va.v + vb.v + 2 * vc.v) AS s FROM pair", "sqrt(va.v + vb.v + 2 * vc.v) AS s, va.v > 0 AND vb.v > 0 AS known FROM pair") for q in battery]
     sql["gee_battery"] = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in battery)
     wards = {f"ward[w{i}]": f"(ward = 'w{i}')::INTEGER" for i in (1, 2)}
     kinds = {f"kind[{k}]": f"(kind = '{k}')::INTEGER" for k in KINDS[1:]}
