@@ -24,10 +24,12 @@ LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.3
 # Weight of a node's own presentation against its content falls with this power of its child count.
 DECAY = 0.9
+# A node's texts are those at most this many nested elements below it; a node with deeper text is not judged as a whole.
+LEVELS = 16
 
 # Fixed HTML vocabulary.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea select svg math iframe object title head".split())
+RAW = set("script style noscript template textarea select svg iframe annotation annotation-xml title head".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th"
@@ -42,6 +44,12 @@ NOISE_WORDS = set(
     " topbar toolbar copyright legal skip search comment comments reply replies respond disqus".split()
 )
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus"}
+# What names of chrome are made of beside its words: "comments-area", "related-posts".
+COMPANION_WORDS = set(
+    "area bar bottom box button buttons container content form global inner item items left link links list main media"
+    " page pages post posts primary right secondary section site slot thread title top unit widget wrap wrapper".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements of a head; anything else, text as well, ends one that is not closed.
 HEAD = set("base basefont bgsound head html link meta noscript script style template title".split())
 # A start of the first kind ends an open element of the second kind.
@@ -87,85 +95,123 @@ def _mark(text: str) -> int:
     return zlib.crc32(raw) << 31 | zlib.crc32(raw[::-1]) >> 1
 
 
+def _named(names: str, chrome: set[str]) -> bool:
+    """One of the names is made of words of ``chrome`` and their companions, so "related-work" is no "related-posts"."""
+    for name in names.split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if words & chrome and words <= NOISE_WORDS | COMPANION_WORDS:
+            return True
+    return False
+
+
+def _hinted(tag: str, values: dict[str, str], main: bool) -> bool:
+    """Tag, role or name say that an element is no part of an article.
+
+    Names of headings and sections are often made from the heading's words. Inside the main part headings are never
+    hinted by name, and the id of a section tells only comments.
+    """
+    if tag in ("html", "body", "main"):
+        return False
+    classes, name = values.get("class", ""), values.get("id", "")
+    if tag == "article":
+        return _named(classes, COMMENT_WORDS) or _named(name, COMMENT_WORDS)
+    if tag in NOISE_TAGS or values.get("role", "").lower() in NOISE_ROLES or "hidden" in values:
+        return True
+    if tag in HEADINGS:
+        return not main and _named(classes, NOISE_WORDS)
+    by_id = _named(name, COMMENT_WORDS if tag == "section" and main else NOISE_WORDS)
+    if main:
+        return by_id or _named(classes, NOISE_WORDS)
+    words = {w.lower() for w in WORD.findall(classes)}
+    return by_id or bool(words & NOISE_WORDS) or tag == "header" or "header" in words or _named(name, {"header"})
+
+
 class _Page:
-    """One pass over a page: its blocks of text with their paths, and what each path holds."""
+    """One pass over a page: its blocks of text with their nodes, and what each path holds.
+
+    Nodes are the block elements in page order, each with its path's mark and its parent's number; node 0 is the page.
+    A path's mark is made from its parent's, so the work is in proportion to the page at any depth.
+    """
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, bool, list[int]]] = []
+        self.blocks: list[tuple[str, bool, int]] = []
         self.children: dict[int, list[str]] = {}
-        self.texts: dict[int, set[int]] = {}
+        self.paths: list[int] = [0]
+        self.parents: list[int] = [-1]
+        self.around: set[int] = {0}
         self.plain: set[int] = set()
-        # (tag, path, path mark, noise, in the main part)
-        self.stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
+        # (tag, node, noise, in the main part)
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
         self.parts: list[str] = []
         self.has_main = False
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         self.parts = []
-        *_, (_, _, _, noise, main) = self.stack
+        _, node, noise, main = self.stack[-1]
         if text and not noise:
-            marks = [m for _, _, m, _, _ in self.stack[1:]]
-            self.blocks.append((text, main, marks))
-            own_mark = _mark(text)
-            for m in marks:
-                self.texts.setdefault(m, set()).add(own_mark)
+            self.blocks.append((text, main, node))
+
+    def last(self, tags: set[str]) -> int:
+        """Place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.open_blocks.pop()
 
     def open(self, tag: str, attributes: str) -> None:
         block = tag in BLOCKS
         if block:
             self.flush()
-            self.close_implied({"p"}, stop=BLOCKS - {"p"})
+            if self.open_blocks and self.stack[self.open_blocks[-1]][0] == "p":
+                self.cut(self.open_blocks[-1])
             if tag in ENDS:
-                self.close_implied(ENDS[tag], stop={"ul", "ol", "dl", "table", "tbody", "thead", "tfoot"} | ({"tr"} if tag in ("td", "th") else set()))
+                stop = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot"} | ({"tr"} if tag in ("td", "th") else set())
+                ended = self.last(ENDS[tag])
+                if ended > self.last(stop):
+                    self.cut(ended)
         values: dict[str, str] = {}
         for name, value in ATTRIBUTE.findall(attributes):
             values.setdefault(name.lower(), html.unescape(value.strip("\"'")))
-        words = {w.lower() for w in WORD.findall(values.get("class", "") + " " + values.get("id", ""))}
-        _, path, mark, noise, main = self.stack[-1]
-        if tag in ("html", "body", "main"):
-            hinted = False
-        elif tag == "article":
-            hinted = bool(words & COMMENT_WORDS)
-        else:
-            hinted = bool(
-                tag in NOISE_TAGS
-                or words & NOISE_WORDS
-                or values.get("role", "").lower() in NOISE_ROLES
-                or "hidden" in values
-                or (not main and (tag == "header" or "header" in words))
-            )
-        noise = noise or hinted
-        if not noise and (tag in ("article", "main") or values.get("role", "").lower() == "main"):
+        _, node, noise, main = self.stack[-1]
+        noise = noise or _hinted(tag, values, main)
+        opens_main = not noise and (tag in ("article", "main") or values.get("role", "").lower() == "main")
+        if opens_main:
             main = self.has_main = True
-            self.plain.update(m for _, _, m, _, _ in self.stack)
+            above = node
+            while above not in self.around:
+                self.around.add(above)
+                self.plain.add(self.paths[above])
+                above = self.parents[above]
         if block:
+            words = {w.lower() for w in WORD.findall(values.get("class", "") + " " + values.get("id", ""))}
             name = tag + "".join("." + re.sub(r"\d+", "0", w) for w in sorted(words))
-            self.children.setdefault(mark, []).append(name)
-            path = f"{path}/{name}"
-            mark = _mark(path)
+            parent = self.paths[node]
+            self.children.setdefault(parent, []).append(name)
+            self.parents.append(node)
+            self.paths.append(_mark(f"{parent}/{name}"))
+            node = len(self.paths) - 1
             if tag in ("html", "body", "main", "article") or main and not words:
-                self.plain.add(mark)
-        self.stack.append((tag, path, mark, noise, main))
-
-    def close_implied(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] in tags:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in stop:
-                return
+                self.plain.add(self.paths[node])
+        place = len(self.stack)
+        self.stack.append((tag, node, noise, main))
+        self.places.setdefault(tag, []).append(place)
+        if block:
+            self.open_blocks.append(place)
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return
+        place = self.last({tag})
+        if place and (tag in BLOCKS or not self.open_blocks or place > self.open_blocks[-1]):
+            self.cut(place)
 
     def read(self, page: str) -> None:
         at, end = 0, len(page)
@@ -194,25 +240,63 @@ class _Page:
         self.flush()
 
 
-def parse(page: str | None) -> tuple[list, list]:
-    """(blocks, nodes) of one page.
+def parse(page: str | None) -> tuple[list, list, list, list]:
+    """(blocks, nodes, paths, parents) of one page.
 
-    Blocks are (text, marks of the paths above); nodes are (path mark, presentation, child kinds, marks of the texts
-    below). Text outside the article or main part counts only where a page has neither. The main part, what it stands
-    in, and nodes without a class or id inside it hold its text and are no candidates for removal.
+    Blocks are (text, number of the node they stand in); ``paths`` and ``parents`` give the path mark and the parent's
+    number of each node with text, parents first, -1 at the top. Nodes, one of each path that may be removed, are (path
+    mark, presentation, child kinds, marks of the texts below). Text outside the article or main part counts only where
+    a page has neither. The main part, what it stands in, nodes without a class or id inside it, and nodes with text
+    more than ``LEVELS`` below hold their text and are no candidates for removal.
     """
     reader = _Page()
     reader.read(page or "")
-    blocks = [(t, marks) for t, main, marks in reader.blocks if main or not reader.has_main]
+    kept = [(t, node) for t, main, node in reader.blocks if main or not reader.has_main]
+    used: set[int] = {0}
+    for _, node in kept:
+        while node not in used:
+            used.add(node)
+            node = reader.parents[node]
+    order = sorted(used - {0})
+    height = dict.fromkeys(used, 0)
+    plain = set(reader.plain)
+    for node in reversed(order):
+        above = reader.parents[node]
+        height[above] = max(height[above], height[node] + 1)
+        if height[node] >= LEVELS:
+            plain.add(reader.paths[node])
+    texts: dict[int, list[int]] = {reader.paths[n]: [] for n in order if reader.paths[n] not in plain}
+    for text, node in kept:
+        text_mark = _mark(text)
+        for _ in range(LEVELS):
+            if node <= 0:
+                break
+            if reader.paths[node] in texts:
+                texts[reader.paths[node]].append(text_mark)
+            node = reader.parents[node]
     nodes = []
-    for mark in sorted({m for _, marks in blocks for m in marks} - reader.plain):
+    for mark in sorted(texts):
         kinds = reader.children.get(mark, [])
         collapsed = [k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k]
-        nodes.append((mark, _mark(",".join(kinds)), len(collapsed), sorted(reader.texts.get(mark, ()))))
-    return blocks, nodes
+        nodes.append((mark, _mark(",".join(kinds)), len(collapsed), sorted(set(texts[mark]))))
+    number = {n: i for i, n in enumerate(order)}
+    blocks = [(t, number.get(node, -1)) for t, node in kept]
+    return blocks, nodes, [reader.paths[n] for n in order], [number.get(reader.parents[n], -1) for n in order]
 
 
-PARSED = "blocks array<struct<text: string, marks: array<bigint>>>, nodes array<struct<path: bigint, style: bigint, kinds: int, texts: array<bigint>>>"
+def left_over(blocks: list, paths: list, parents: list, removed: list) -> str:
+    """Texts of the blocks of a page that stand in no node with a path of ``removed``, joined."""
+    low = set(removed)
+    gone: list[bool] = []
+    for path, above in zip(paths, parents):
+        gone.append(path in low or (above >= 0 and gone[above]))
+    return "\n\n".join(b["text"] for b in blocks if b["node"] < 0 or not gone[b["node"]])
+
+
+PARSED = (
+    "blocks array<struct<text: string, node: int>>, paths array<bigint>, parents array<int>, place bigint,"
+    " nodes array<struct<path: bigint, style: bigint, kinds: int, texts: array<bigint>>>"
+)
 
 
 def host_of(url: Column) -> Column:
@@ -260,21 +344,30 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[s
     @F.pandas_udf(PARSED)
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            both = [parse(t) for t in texts]
+            read = [parse(t) for t in texts]
             yield pd.DataFrame(
                 {
-                    "blocks": [[{"text": t, "marks": m} for t, m in b] for b, _ in both],
-                    "nodes": [[{"path": p, "style": s, "kinds": k, "texts": x} for p, s, k, x in n] for _, n in both],
+                    "blocks": [[{"text": t, "node": n} for t, n in b] for b, *_ in read],
+                    "paths": [paths for _, _, paths, _ in read],
+                    "parents": [parents for *_, parents in read],
+                    "place": [_mark(",".join(str(paths[n] if n >= 0 else 0) for _, n in b)) for b, _, paths, _ in read],
+                    "nodes": [[{"path": p, "style": s, "kinds": k, "texts": x} for p, s, k, x in n] for _, n, _, _ in read],
                 }
             )
 
+    @F.pandas_udf("string")
+    def shortened(blocks: pd.Series, paths: pd.Series, parents: pd.Series, removed: pd.Series) -> pd.Series:
+        rows = zip(blocks, paths, parents, removed)
+        return pd.Series([None if r is None else left_over(b, p, above, r) for b, p, above, r in rows], dtype=object)
+
+    texts = F.transform("parsed.blocks", lambda b: b["text"])
     read = stored(
         pages.select(
             packed(pages, columns).alias("row"),
             F.monotonically_increasing_id().alias("at"),
             host_of(own(url)).alias("host"),
             parsed(own(page)).alias("parsed"),
-        ).select("*", F.xxhash64("parsed.blocks").alias("mark"), F.xxhash64("parsed.nodes").alias("way"))
+        ).select("*", F.xxhash64(texts, "parsed.place").alias("mark"), F.xxhash64("parsed.nodes").alias("way"))
     )
     nodes = read.select("at", "host", F.inline("parsed.nodes"))
     firsts = read.groupBy("host", "mark").agg(F.min(F.struct("way", "at")).alias("first"))
@@ -285,15 +378,14 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", keep: list[s
     low = importance(once).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     low = stored(low.select("host", "path"))
     paths = low.count()
-    blocks = F.col("parsed.blocks")
+    text = F.array_join(texts, "\n\n")
     if paths:
         hit = nodes.select("at", "host", "path").join(broadcast_below(low, paths, 250_000), ["host", "path"])
         removed = stored(hit.groupBy("at").agg(F.collect_set("path").alias("removed")))  # paths of one page
         removed = broadcast_below(removed.withColumnRenamed("at", "of"), removed.count(), 100_000)
         read = read.join(removed, F.col("at") == F.col("of"), "left")
-        blocks = F.when(F.col("removed").isNull(), blocks).otherwise(
-            F.filter(blocks, lambda b: ~F.arrays_overlap(b["marks"], F.col("removed")))
-        )
-    text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
+        # Only pages that lose a node go through the worker again.
+        some = [F.when(F.col("removed").isNotNull(), F.col(f"parsed.{c}")) for c in ("blocks", "paths", "parents")]
+        text = F.coalesce(shortened(*some, "removed"), text)
     out = read.select("row", text.alias("text"))
     return out.select(*unpacked(columns), "text", F.length("text").cast("long").alias("n_chars"))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def text_of(page):
-    blocks, _ = html_text.parse(page)
+    blocks, *_ = html_text.parse(page)
     return [t for t, _ in blocks]
 
 
@@ -108,3 +108,46 @@ def test_head_without_an_end():
     assert text_of("<head><title>never closed</head><body><p>y") == ["y"]
     assert text_of("<head><style>p{}<body><p>y") == ["y"]
     assert text_of("<head><title>x</title><noscript><p>no</p></noscript></head><p>y") == ["y"]
+
+
+def test_sections_of_an_article_stay_whatever_their_ids():
+    assert text_of('<article><section id="related-work"><p>Related work text.</p></section><p>End</p></article>') == ["Related work text.", "End"]
+    assert text_of('<article><h2 id="copyright-law">Copyright law</h2><p>text</p></article>') == ["Copyright law", "text"]
+    assert text_of('<article><h2 id="comments">Comments</h2><div id="search-trees">a</div></article>') == ["Comments", "a"]
+    assert text_of('<div><section id="related-work"><p>x</p></section><h3 id="notice">y</h3></div>') == ["x", "y"]
+    gone = '<section id="comments">c</section><div class="related-posts">r</div><div id="social-share">s</div><p>p</p>'
+    assert text_of(f"<article>{gone}</article>") == ["p"]
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p><object><p>old</p></object></article>"
+    assert text_of(page) == ["so x=1 holds", "old"]
+
+
+def test_depth_costs_in_proportion(spark):
+    deep = "<div class=a>x" * 100_000
+    blocks, nodes, paths, parents = html_text.parse(deep)
+    assert len(blocks) == len(paths) == 100_000 and len(nodes) <= html_text.LEVELS
+    assert parents[:3] == [-1, 0, 1] and len(set(paths)) == 100_000
+    for page in ("<b>" * 50_000 + "</i>" * 50_000 + "x", "<div>" * 50_000 + "</section>" * 50_000 + "x", "<div>" * 50_000 + "<li>x</li>" * 50_000):
+        html_text.parse(page)
+    docs = spark.createDataFrame([(1, "http://a.example/", deep)], "page_id long, url string, html string")
+    assert html_text.extract(docs).first()["n_chars"] == 3 * 100_000 - 2
+
+
+def test_nodes_are_removed_with_all_in_them(spark):
+    """Against a loop over all nodes above a block."""
+    pages = ["<div class=a>x<div class=b>y<p>z</p></div>w</div><p>v</p>" * 3, "top<ul><li>a<li>b<ul><li>c</ul></ul>"]
+    for page in pages:
+        blocks, _, paths, parents = html_text.parse(page)
+        rows = [{"text": t, "node": n} for t, n in blocks]
+        for low in paths:
+            left = []
+            for text, node in blocks:
+                above = set()
+                while node >= 0:
+                    above.add(paths[node])
+                    node = parents[node]
+                if low not in above:
+                    left.append(text)
+            assert html_text.left_over(rows, paths, parents, [low]) == "\n\n".join(left)
