@@ -175,3 +175,36 @@ def test_points_without_finite_coordinates_match_nothing(spark, limit):
     shapes = polygons(spark, {"a": [square(-1, -1, 3)]})
     got = spatial.points_in(points(spark, odd), shapes, "lon", "lat", "semi", keys=["YEAR"], broadcast_limit=limit)
     assert [r["id"] for r in got.collect()] == [5]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 28])
+def test_wide_polygon_among_narrow_ones(spark, limit):
+    shapes = {str(i): [square(10 * i, 10 * i)] for i in range(20)} | {"wide": [square(-400, -400, 1000.5)]}
+    shapes["slanted"] = [[(0.5, -300.0), (900.0, 500.0), (0.5, 500.0)]]
+    shapes["far"] = [square(700, 0)]
+    table = polygons(spark, shapes)
+    index = spatial.polygon_cells(table, 0.25)
+    rows = {r["GEOID"]: (r["n"], r["levels"]) for r in index.groupBy("GEOID").agg(F.count("*").alias("n"), F.count_distinct("__level").alias("levels")).collect()}
+    assert max(n for n, _ in rows.values()) <= (spatial.SPAN + 2) ** 2 and {k for _, k in rows.values()} == {1}
+    draw = random.Random(2)
+    data = [(draw.uniform(-450, 950), draw.uniform(-450, 950)) for _ in range(300)] + [(10 * i + 0.5, 10 * i + 1) for i in range(20)]
+    want = sorted((i, k) for i, (x, y) in enumerate(data) for k, rings in shapes.items() if inside(rings[0], x, y))
+    got = spatial.points_in(points(spark, data), table, "lon", "lat", keys=["YEAR"], cell=0.25, broadcast_limit=limit)
+    assert matched(got) == want
+    semi = spatial.points_in(points(spark, data), table, "lon", "lat", "semi", keys=["YEAR"], cell=0.25, broadcast_limit=limit)
+    assert sorted(r["id"] for r in semi.collect()) == sorted({i for i, _ in want})
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 28])
+def test_narrow_and_wide_polygons_touch(spark, limit):
+    shapes = {
+        "in": [square(3, 3)],
+        "on": [square(1000, 5)],
+        "out": [square(1000.5, 5)],
+        "around": [square(-9000, -9000, 20000)],
+        "across": [square(999, -2, 300)],
+        "in_hole": [square(501, 501, 0.5)],
+    }
+    boundary = spark.createDataFrame([([square(0, 0, 1000), square(500, 500, 100)],), ([square(3000, 0)],)], "rings array<array<struct<x:double,y:double>>>")
+    got = spatial.polygons_touching(polygons(spark, shapes), boundary, cell=0.2, broadcast_limit=limit)
+    assert sorted(r["GEOID"] for r in got.collect()) == ["across", "around", "in", "on"]
