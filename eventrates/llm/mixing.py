@@ -119,7 +119,7 @@ def mix(
     ``repeats`` is how often the mix takes the whole row, ``rest`` how many further words it takes of the one row at
     which its source's budget ends (rows equal in key and text share it evenly), ``taken`` = repeats * size + rest.
     NULL text has size 0; NULL is a source of its own; NULL keys are hashed like others. A source without words has
-    target 0. Repeated rows share a hash and are taken alike. Input columns of the added names are replaced. The hash
+    target 0. Rows without words are repeated like those around them, ``most`` times at most. Repeated rows share a hash and are taken alike. Input columns of the added names are replaced. The hash
     depends on seed, key and text only, so reruns agree. An empty table gives an empty table.
     """
     added = ["size", "source_size", "target", "repeats", "rest", "taken"]
@@ -145,7 +145,7 @@ def mix(
     limits = checkpointed(limits.select("of", "source_size", "target", "repeats", "left", "end", "ties"))
     joined = measured.join(broadcast_below(limits, sources), F.col("source").eqNullSafe(F.col("of")))
     size, repeats = F.col("size"), F.coalesce("repeats", F.lit(0))
-    whole = repeats + F.when(F.col("hash") < F.col("end"), 1).otherwise(0)
+    whole = repeats + F.when((F.col("hash") < F.col("end")) & (repeats < most), 1).otherwise(0)
     rest = F.when(F.col("hash") == F.col("end"), F.least(size, F.floor(F.col("left") / F.col("ties")))).otherwise(0)
     return joined.select(
         *unpacked(columns),

@@ -66,6 +66,16 @@ def test_whole_rows(spark):
     assert taken[8] <= 3
 
 
+def test_empty_texts_at_the_cap(spark):
+    rows = [(i, "" if i % 3 else f"word{i} x", "a" if i < 60 else "b") for i in range(70)]
+    rows += [(i, "many words here " * 50, "b") for i in range(70, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = {r["doc_id"]: r["repeats"] for r in mixing.mix(docs).collect()}
+    assert max(told.values()) == 3 and all(told[i] == 3 for i in range(60) if i % 3 == 0)
+    taken = Counter(r["doc_id"] for r in mixing.mixed_rows(docs).collect())
+    assert all(taken[i] <= 3 for i in range(60))
+
+
 def test_smaller_mix_is_part(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("source = 'src3'")
     sizes = mixing.mix(docs).first()["source_size"]
