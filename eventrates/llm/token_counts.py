@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
@@ -41,22 +42,41 @@ def count(text: str, vocabulary: str = VOCABULARY) -> int:
     return len(encoding(vocabulary).encode_ordinary(text))
 
 
+@cache
+def kind(character: str) -> str:
+    """``L`` letter, ``N`` number, ``S`` white space, ``O`` other, as the pattern tells them; empty where tables of
+    Unicode may differ (the class of 2002 and that of today)."""
+
+    def of(table) -> str:
+        name = table.category(character)
+        if character in "\t\n\v\f\r\x85" or name[0] == "Z":
+            return "S"
+        return "" if name == "Cn" else name[0] if name[0] in "LN" else "O"
+
+    return of(unicodedata) if of(unicodedata) == of(unicodedata.ucd_3_2_0) else ""
+
+
 def holds(before: str, after: str) -> bool:
-    """Whether the text is cut between two parts whatever else they hold: a letter, then a space and a letter.
+    """Whether the text is cut between two parts whatever else they hold: where the kind changes, but not after white
+    space.
 
-    No alternative of the pattern goes on over a space after a letter or looks that far ahead.
+    No alternative of the pattern goes on over such a place, but for an apostrophe before a letter. Only white space
+    looks ahead, so what ends in another character is matched as if nothing followed.
     """
-    return before[-1:].isalpha() and after[:1] == " " and after[1:2].isalpha()
+    a, b = before[-1:], after[:1]
+    if not a or not b or (a == "'" and kind(b) == "L"):
+        return False
+    return kind(a) != kind(b) and kind(a) not in ("", "S") and kind(b) != ""
 
 
 def cut(text: str) -> list[str]:
-    """Leaves of about ``LEAF_CHARACTERS``; longer where no cut holds."""
+    """Leaves of about ``LEAF_CHARACTERS``. Only one run of letters, numbers or other characters, or of white space and
+    the run after it, is longer: merges in it may depend on all of it."""
     leaves, at = [], 0
     while at < len(text):
-        p = text.find(" ", at + LEAF_CHARACTERS)
-        while p > 0 and not holds(text[p - 1 : p], text[p : p + 2]):
-            p = text.find(" ", p + 1)
-        p = len(text) if p < 0 else p
+        p = at + LEAF_CHARACTERS
+        while p < len(text) and not holds(text[p - 1], text[p]):
+            p += 1
         leaves.append(text[at:p])
         at = p
     return leaves

@@ -22,7 +22,7 @@ def test_random_edits(monkeypatch):
     for leaf in (4, 16, 64):
         monkeypatch.setattr(t, "LEAF_CHARACTERS", leaf)
         for _ in range(150):
-            text = "".join(rng.choice(["ab ", "the", " cat", "'s", "  ", "\n", "12", "é", "!", " x"]) for _ in range(rng.randrange(0, 60)))
+            text = "".join(rng.choice(["ab ", "the", " cat", "'s", "'", "  ", "\n", "12", "é", "!", " x", "漢字", "。"]) for _ in range(rng.randrange(0, 60)))
             tree = t.Tree.of(text)
             for _ in range(3):
                 edits = []
@@ -47,6 +47,36 @@ def test_little_is_encoded_again():
     assert again < 6 * t.LEAF_CHARACTERS
 
 
+SCRIPTS = {
+    "chinese": "天地玄黃，宇宙洪荒。日月盈昃，辰宿列張。寒來暑往，秋收冬藏。",
+    "japanese": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "code": "for(i=0;i<n;i++){x[i]+=y[i]*2;if(x[i]>9)break;}",
+    "numbers": "12,5;7,25;118,0;3,75;0,125;",
+    "lines": "1\t22\t333\n4\t55\t666\n",
+}
+
+
+def test_little_without_spaces():
+    for text in SCRIPTS.values():
+        text = text * (14_000 // len(text))
+        assert max(map(len, t.cut(text))) < 2 * t.LEAF_CHARACTERS
+        tree = t.Tree.of(text)
+        new, again = t.edit(tree, text, [(7_001, 7_003, "x1")])
+        assert new == text[:7_001] + "x1" + text[7_003:]
+        assert again < 4 * t.LEAF_CHARACTERS and tree.tokens == t.count(new)
+
+
+def test_kinds_cut_at_every_place():
+    """At each place that holds, the parts have as many tokens as the whole, in texts of all kinds of characters."""
+    rng = random.Random(8)
+    alphabet = ["a", "s", "'", "'s", "é", "漢", "1", "٣", "½", "!", "。", "\u0301", "\u200b", "\x1c", " ", "  ", "\n", "\t", "\u3000", "\x85", "\U00031350", "😀"]
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(24))
+        for p in range(1, len(text)):
+            if t.holds(text[:p], text[p:]):
+                assert t.count(text[:p]) + t.count(text[p:]) == t.count(text)
+
+
 def test_tree_finds_leaves():
     tree = t.Tree.of(TEXT)
     starts = [0]
