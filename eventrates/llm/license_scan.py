@@ -1,6 +1,7 @@
 """Licence detection by ordered signature rules.
 
-Rules are regular expressions over the lower-cased words of a text. A rule holds one anchor word; only texts with an
+Rules are regular expressions over the lower-cased words of a text: names of licences and the clauses of their own
+texts (``license_clauses``). A rule holds one anchor word; only texts with an
 anchor are cut into words, only the words around an anchor are looked at, and there only rules whose own keyword stands
 nearby are tried. A detection inside another one of the same or a higher priority is suppressed. All expressions are
 built-in functions on the row, so nothing is shuffled and no key can be hot.
@@ -14,6 +15,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_clauses import clauses, keyword
 from .storage import carried, own, packed, unpacked
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,12 +138,12 @@ LATER = "(?: of the license)? or (?:at your option )?(?:any )?later(?: version)?
 
 
 def rules() -> list[Rule]:
-    """All rules in order: by name, granted name, name with later versions, identifier line; then the base phrases."""
+    """All rules in order: by name, granted name, name with later versions, identifier line; clauses; the base phrases."""
     out = []
-    for label, keyword, pattern, versions in NAMES:
+    for label, word, pattern, versions in NAMES:
         for v in versions or ("",):
             name = label.replace("{v}", v.replace(" ", "."))
-            key, body = keyword.replace("{v}", v), pattern.replace("{v}", v)
+            key, body = word.replace("{v}", v), pattern.replace("{v}", v)
             exact = bool(v) or not any(x[0].startswith(label) and x[3] for x in NAMES)
             out.append(Rule(name, body, "", key, 3, 0.8 if exact else 0.6))
             out.append(Rule(name, f"{GRANT}(?:{body})", "", key, 2, 0.95 if exact else 0.75))
@@ -151,6 +153,7 @@ def rules() -> list[Rule]:
                 spelled = name.lower().replace("-", " ").replace(".", " ")
                 out.append(Rule(name, f">spdx license identifier {spelled}", "spdx", "identifier", 1, 1.0))
     out.append(Rule("license-notice", "(?:>licensed|>licenced) under", "", "under", 5, 0.3))
+    out += [Rule(name, words, "", keyword(words), priority, sure) for name, words, priority, sure in clauses()]
     for phrase, label in BASE_PHRASES.items():
         last = phrase.split()[-1]
         marked = ">cc by" if phrase == "cc by" else phrase.removesuffix(last) + ">" + last

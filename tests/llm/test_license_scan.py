@@ -1,5 +1,6 @@
 import re
 
+from eventrates.llm import license_clauses as clauses
 from eventrates.llm import license_scan as scan
 from eventrates.llm import queries
 from tests.llm import odd
@@ -76,6 +77,68 @@ def test_matches_loops(spark):
     check(scan.scan(spark.read.parquet(f"{SF}/documents.parquet")).collect())
 
 
+# Openings and notices as they stand in files, with their line breaks and marks.
+HEADERS = {
+    "MIT": """Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer.""",
+    "BSD-3-Clause": """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     http://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL": """// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+// GNU General Public License for more details.""",
+    "GPL-3.0": "a free, copyleft license. The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "OFL-1.1": "Neither the Font Software nor any of its individual components, in Original or Modified Versions, may be sold by itself.",
+    "CC-BY": "You must give appropriate credit, provide a link to the license, and indicate if changes were made.",
+}
+
+
+def sample(pattern):
+    """A text that a clause's pattern matches: each choice by its first form."""
+    pattern = re.sub(r"\(\?:\[\^ >\]\+ \)\{\d+,\d+\}", "acme works ", pattern)
+    while "(?:" in pattern:
+        pattern = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", pattern)
+    pattern = re.sub(r"\[(\w)\w\]", r"\1", pattern)
+    return re.sub(r" +", " ", pattern.replace("?", "").replace(">", ""))
+
+
+def test_clauses(spark):
+    every = clauses.clauses()
+    assert len(every) > 200 and len({p for _, p, _, _ in every}) == len(every)
+    rows = [(i, label, sample(p)) for i, (label, p, _, _) in enumerate(every)]
+    rows += [(1000 + i, label, text) for i, (label, text) in enumerate(HEADERS.items())]
+    found = scan.scan(spark.createDataFrame(rows, "doc_id long, label string, text string").repartition(8)).collect()
+    missed = [(r["label"], r["text"], r["labels"]) for r in found if r["label"] not in r["labels"]]
+    assert not missed
+    assert all(clauses.keyword(p) for _, p, _, _ in every)
+
+
 def test_suppression(spark):
     rows = scan.scan(spark.createDataFrame([(0, TEXTS[0]), (1, TEXTS[1])], "doc_id long, text string")).collect()
     assert "GPL-3.0-or-later" in rows[0]["labels"] and "GPL-3.0" not in rows[0]["labels"]
