@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Two-sided 95% normal quantile.
 Z_95 = 1.959963984540054
 
+DAY_MICROS, MINUTE_MICROS = 86_400_000_000, 60_000_000
+
 # Accepted layouts of a date-time text.
 TIMESTAMP_LAYOUTS = ("yyyy/M/d H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
 
@@ -85,17 +87,35 @@ def parse_utc(column: Column | str, layouts: Sequence[str] = TIMESTAMP_LAYOUTS)
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f"{layout} X")) for layout in layouts])
 
 
-def utc_clock(value: Column) -> Column:
-    """The UTC clock reading of an instant, without a zone; readings without a zone and dates are taken as they are."""
-    seconds = (F.unix_micros(value.cast("timestamp")) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
-    reading = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
-    return F.when(F.typeof(value) == "timestamp", reading).otherwise(value.cast("timestamp_ntz"))
+def _whole(value: Column, unit: int) -> Column:
+    """How many whole units a count of microseconds holds, rounded down; exact, as only multiples are divided."""
+    return (value - F.pmod(value, F.lit(unit))) / F.lit(unit)
+
+
+def utc_date(value: Column) -> Column:
+    """The UTC calendar day of an instant; that of readings without a zone and of dates as they are."""
+    day = F.date_from_unix_date(_whole(F.unix_micros(value.cast("timestamp")), DAY_MICROS).cast("int"))
+    return F.when(F.typeof(value) == "timestamp", day).otherwise(value.cast("timestamp_ntz").cast("date"))
+
+
+def utc_minutes(value: Column) -> Column:
+    """Whole minutes of the UTC clock since midnight, for an instant or a reading without a zone."""
+    in_day = F.pmod(F.unix_micros(value.cast("timestamp")), F.lit(DAY_MICROS))
+    reading = value.cast("timestamp_ntz")
+    return F.when(F.typeof(value) == "timestamp", _whole(in_day, MINUTE_MICROS).cast("int")).otherwise(
+        F.hour(reading) * 60 + F.minute(reading)
+    )
 
 
 def utc_instant(value: Column) -> Column:
     """The instant of a UTC clock reading without a zone; instants are taken as they are."""
-    from_reading = F.concat(value.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
-    return F.when(F.typeof(value) == "timestamp", value.cast("timestamp")).otherwise(from_reading)
+    reading = value.cast("timestamp_ntz")
+    micros = (
+        F.unix_date(reading.cast("date")).cast("long") * DAY_MICROS
+        + (F.hour(reading) * 60 + F.minute(reading)).cast("long") * MINUTE_MICROS
+        + (F.date_part(F.lit("second"), reading) * 1_000_000).cast("long")
+    )
+    return F.when(F.typeof(value) == "timestamp", value.cast("timestamp")).otherwise(F.timestamp_micros(micros))
 
 
 def flag(condition: Column) -> Column:
@@ -111,8 +131,9 @@ def any_flag(columns: Sequence[Column | str], yes: str = "YES", no: str = "NO")
 
 def decimal_hour(timestamp: Column | str) -> Column:
     """Hour plus minutes of the UTC clock as a fraction; seconds are ignored."""
-    value = utc_clock(_col(timestamp))
-    return F.hour(value) + F.minute(value) / F.lit(60.0)
+    minutes = utc_minutes(_col(timestamp))
+    minute = F.pmod(minutes, F.lit(60))
+    return (minutes - minute) / F.lit(60) + minute / F.lit(60.0)
 
 
 def clock_window_flag(

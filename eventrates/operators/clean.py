@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventrates.functions.columns import is_number, utc_clock
+from eventrates.functions.columns import is_number, utc_date
 
 
 def drop_first_column(df: DataFrame) -> DataFrame:
@@ -54,4 +54,4 @@ def at_least(df: DataFrame, column: str, threshold: float) -> DataFrame:
 def exclude_years(df: DataFrame, timestamp: str | Column, years: Sequence[int]) -> DataFrame:
     """Rows outside the listed years."""
     value = F.col(timestamp) if isinstance(timestamp, str) else timestamp
-    return df.where(~F.year(utc_clock(value)).isin(list(years)))
+    return df.where(~F.year(utc_date(value)).isin(list(years)))

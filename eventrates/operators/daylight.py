@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventrates.functions.columns import flag, utc_clock, utc_instant
+from eventrates.functions.columns import flag, utc_date, utc_instant
 from eventrates.functions.sun import sun_times
 
 
@@ -31,7 +31,7 @@ def add_sun_times(
     elif day_mode != "utc":
         raise ValueError(f"unknown day mode: {day_mode}")
     times = sun_times(
-        F.to_date(utc_clock(instant)), F.col(lat).cast("double"), F.col(lon).cast("double"), anchor_hour
+        utc_date(instant), F.col(lat).cast("double"), F.col(lon).cast("double"), anchor_hour
     )
     return df.withColumns(times._asdict())
 

@@ -16,7 +16,7 @@ from eventrates.functions.columns import (
     parse_utc,
     recode,
     strip_text,
-    utc_clock,
+    utc_date,
 )
 from eventrates.operators.clean import exclude_values, keep_values
 from eventrates.operators.daylight import add_sun_times, add_veil_flags
@@ -43,7 +43,7 @@ def clean_events(
     )
     timed = coded.withColumn("dateFull", parse_utc("responseDate")).withColumns(
         {
-            "date": F.to_date(utc_clock(F.col("dateFull"))),
+            "date": utc_date(F.col("dateFull")),
             "anySearch": any_flag(["personSearch", "vehicleSearch"]),
             "lon": F.col("long"),
         }
@@ -53,7 +53,7 @@ def clean_events(
         {
             "hm": decimal_hour("dateFull"),
             "interTwilight": clock_window_flag("dateFull", 17.0, 22.0),
-            "year": F.year(utc_clock(F.col("dateFull"))),
+            "year": F.year("date"),
         }
     )
 

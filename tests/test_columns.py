@@ -83,7 +83,7 @@ def test_clock_does_not_follow_the_session_zone(spark):
     try:
         df = spark.createDataFrame([(t,) for t in texts], "a string").withColumn("t", c.parse_utc("a"))
         got = df.select(
-            F.unix_seconds("t"), c.decimal_hour("t"), F.to_date(c.utc_clock(F.col("t"))), F.unix_seconds(c.utc_instant(c.utc_clock(F.col("t"))))
+            F.unix_seconds("t"), c.decimal_hour("t"), c.utc_date(F.col("t")), F.unix_seconds(c.utc_instant(F.to_timestamp_ntz("a")))
         ).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -91,3 +91,15 @@ def test_clock_does_not_follow_the_session_zone(spark):
         when = dt.datetime.fromisoformat(text).replace(tzinfo=dt.timezone.utc)
         assert seconds == again == when.timestamp()
         assert hour == when.hour + when.minute / 60 and day == when.date()
+
+
+def test_clock_of_instants_and_readings_agrees(spark):
+    texts = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "0001-01-01 00:00:00.000001", "2018-06-21 00:30:59.999999", "9999-12-31 23:59:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").select(
+        F.to_timestamp_ntz("a").alias("r"), F.to_timestamp(F.concat("a", F.lit("Z"))).alias("t")
+    )
+    shown = [(c.utc_date(F.col(x)), c.utc_minutes(F.col(x)), F.unix_micros(c.utc_instant(F.col(x)))) for x in ("r", "t")]
+    for text, row in zip(texts, df.select(*shown[0], *shown[1], F.unix_micros("t")).collect()):
+        when = dt.datetime.fromisoformat(text)
+        assert row[0] == row[3] == when.date() and row[1] == row[4] == when.hour * 60 + when.minute
+        assert row[2] == row[5] == row[6]
