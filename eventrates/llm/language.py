@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .splits import sampled
-from .storage import carried, own, packed, unpacked
+from .storage import carried, checkpointed, own, packed, unpacked
 
-# The fit sees about so many rows of each language, and the filter gets at most so many n-grams of each.
+# The fit sees about so many different rows of each language.
 MOST_ROWS = 3000
-MOST_GRAMS = 50_000
 SLOTS = 1 << 19
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 # An n-gram belongs to a language where its share is at least this part of its largest share in any language.
@@ -113,17 +112,12 @@ def _slot(grams: np.ndarray, factor: int) -> np.ndarray:
     return (mixed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def train(
-    docs: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    most_rows: int = MOST_ROWS,
-    most_grams: int = MOST_GRAMS,
-) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = MOST_ROWS) -> Model:
     """Filter from labelled rows: NULL texts and languages are left out; without any, no language is known.
 
-    Rows are sampled per language up to ``most_rows``; the n-grams of the sample are counted in Spark, and at most
-    ``most_grams`` of each language come to the driver.
+    Different rows are sampled per language up to about ``most_rows``, copies counting once. All n-grams of the sample
+    are counted, and the filter's masks put together, in Spark; only the masks come to the driver, at most ``SLOTS``
+    rows for each 64 languages.
     """
     rows = docs.select(own(text).alias("text"), own(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = sampled(rows, "lang", most_rows)
@@ -136,22 +130,30 @@ def train(
                     yield pd.DataFrame({"lang": name, "gram": values.astype(np.int64), "n": n.astype(np.int64)})
 
     counted = rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(totals, "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
     largest = F.max("share").over(Window.partitionBy("gram"))  # one row per language
     kept = shares.withColumn("largest", largest).where((F.col("share") >= LEAST_PART * F.col("largest")) & (F.col("n") >= LEAST_COUNT))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    table = kept.withColumn("place", place).where(F.col("place") <= most_grams).select("lang", "gram").toPandas()
-    languages = tuple(sorted(table["lang"].unique()))
+    kept = checkpointed(kept.select("lang", "gram"))
+    languages = tuple(sorted(r["lang"] for r in kept.select("lang").distinct().collect()))
+    place = {name: i for i, name in enumerate(languages)}
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch["lang"].map(place).to_numpy(np.int64)
+            bits = (np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64)
+            for h in HASHES:
+                slots = _slot(batch["gram"].to_numpy().astype(np.uint64), h)
+                yield pd.DataFrame({"slot": slots, "word": at // 64, "bits": bits})
+
+    table = kept.mapInPandas(filled, "slot long, word long, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("mask"))
     masks = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
-    false_hits = np.zeros(len(languages))
-    for i, name in enumerate(languages):
-        grams = table.loc[table["lang"] == name, "gram"].to_numpy().astype(np.uint64)
-        filled = np.zeros(SLOTS, bool)
-        for h in HASHES:
-            filled[_slot(grams, h)] = True
-        masks[filled, i // 64] |= np.uint64(1 << (i % 64))
-        false_hits[i] = min(0.99, filled.mean() ** len(HASHES))
+    if languages:
+        found = table.toPandas()
+        masks[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    set_bits = [(masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(len(languages))]
+    false_hits = np.array([min(0.99, float(bit.mean()) ** len(HASHES)) for bit in set_bits])
     return Model(languages, masks, false_hits)
 
 
