@@ -177,7 +177,8 @@ def train(
     # Bounded by the two parameters.
     chosen = F.broadcast(chosen.groupBy("id").agg(F.max("kind").alias("p"), F.min("kind").alias("u")))
     read = docs.select(own(key).alias("at"), own(text).alias("text"))
-    picked = read.join(chosen, F.col("at").eqNullSafe(F.col("id"))).select("text", "p", "u")
+    # Rows that share a key count once, by the first of their texts.
+    picked = read.join(chosen, F.col("at").eqNullSafe(F.col("id"))).groupBy("id", "p", "u").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("binary")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -54,3 +54,11 @@ def test_one_unlabelled_row_does_not_decide(spark, monkeypatch):
     assert q.train(full, positives, labels) == (20, 60)
     assert q.train(extra, positives, labels) == (20, 61)
     assert q.train(full, positives, positives) == (20, 60)
+
+
+def test_one_key_of_many_rows_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(q, "fit", lambda p, u: (len(p), len(u)))
+    docs = spark.range(3000).selectExpr("if(id < 2000, 7L, id) as doc_id", "concat('text ', id) as text")
+    positives = spark.createDataFrame([(7,), (2500,)], "doc_id long")
+    taken_p, taken_u = q.train(docs, positives, positives)
+    assert (taken_p, taken_u) == (2, 1001)
