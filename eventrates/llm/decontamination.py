@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to features and weighed by how rarely blocks of the corpus hold them. A randomised singular value
-decomposition of TF-IDF passages, a bounded sample of the corpus and all benchmark items, gives a latent space in
-which every passage of every document is compared with every item. Pairs above a cosine are checked word by word: the
+decomposition of the TF-IDF matrix of all passages of the corpus and all benchmark items gives a latent space in which
+every passage of every document is compared with every item. Pairs above a cosine are checked word by word: the
 longest common subsequence must cover most of the item densely, and the item's rarest words, its answer, must be there.
 
 A space of fixed rank tells many items apart less well than few. What it misses is found by equality: a run of words
@@ -11,7 +11,6 @@ leads to copies word for word, and every place with half of an item's answer wor
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -26,8 +25,11 @@ from .storage import carried, own, packed, stored, unpacked
 
 FEATURES = 1 << 15
 BLOCK_WORDS = 16
-# The fit sees about so many passages of the corpus, one of each sampled document.
-MOST_SAMPLED = 12_000
+# More passages of the corpus weigh as much as so many in the fit, so that items keep their weight beside them.
+BALANCE = 12_000
+# Passages multiplied at once, and how often a feature must stand in them to be summed by a matrix product.
+CHUNK = 1024
+OFTEN = 16
 RANK = 64
 EXTRA = 16
 # The largest singular directions tell languages apart, not passages.
@@ -141,36 +143,35 @@ def blocks_of(texts: Iterable[str | None]) -> Iterator[Blocks]:
         yield flush()
 
 
-def _corpus(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, DataFrame]:
-    """IDF by feature over all blocks of all documents, and the sampled passages (ids)."""
-    part = min(1.0, most / max(1, docs.count()))
+def _passages(some: Blocks) -> np.ndarray:
+    """Sorted features of the passages, two blocks each, that texts fall into."""
+    heads, seconds = np.flatnonzero(some.order % 2 == 0), np.flatnonzero(some.order % 2)
+    out = np.full((len(heads), 2 * BLOCK_WORDS), NOTHING, "<u2")
+    out[:, :BLOCK_WORDS] = some.ids[heads]
+    out[np.searchsorted(heads, seconds) - 1, BLOCK_WORDS:] = some.ids[seconds]
+    return np.sort(out, axis=1)
+
+
+def _corpus(docs: DataFrame, text: str) -> tuple[np.ndarray, DataFrame]:
+    """IDF by feature over all blocks of all documents, and all different passages (ids)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(FEATURES + 1, np.int64)
         blocks = 0
         for batch in batches:
-            texts = list(batch["text"])
-            picked = []
-            for some in blocks_of(texts):
+            for some in blocks_of(batch["text"]):
                 rows = np.sort(some.ids, axis=1)
                 fresh = np.ones(rows.shape, bool)
                 fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
                 held += np.bincount(rows[fresh], minlength=FEATURES + 1)
                 blocks += len(rows)
-                firsts = np.flatnonzero(some.order == 0)
-                for at, until in zip(firsts, np.r_[firsts[1:], len(rows)]):
-                    mark = zlib.crc32(texts[some.text[at]].encode("utf-8", "replace"))
-                    if mark < part * 2**32:
-                        at += mark % max(1, until - at - 1)
-                        ids = some.ids[at : min(at + 2, until)].ravel()
-                        picked.append(ids[ids != NOTHING].astype(np.int32).tolist())
-            if picked:
-                yield pd.DataFrame({"feature": None, "n": None, "ids": picked}).astype({"feature": "Int64", "n": "Int64"})
+                if passages := [p.tobytes() for p in _passages(some)]:
+                    yield pd.DataFrame({"feature": None, "n": None, "ids": passages}).astype({"feature": "Int64", "n": "Int64"})
         some = np.flatnonzero(held[:FEATURES])
         if blocks:
             yield pd.DataFrame({"feature": np.r_[-1, some], "n": np.r_[blocks, held[some]], "ids": None})
 
-    told = stored(docs.select(own(text).alias("text")).mapInPandas(read, "feature long, n long, ids array<int>"))
+    told = stored(docs.select(own(text).alias("text")).mapInPandas(read, "feature long, n long, ids binary"))
     counts = told.where("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     counts = dict(zip(counts["feature"], counts["n"], strict=True))
     total = counts.pop(-1, 0)
@@ -178,53 +179,112 @@ def _corpus(docs: DataFrame, text: str, most: int) -> tuple[np.ndarray, DataFram
     if counts:
         at = np.fromiter(counts, np.int64, len(counts))
         idf[at] = np.log((total + 1.0) / (np.fromiter(counts.values(), np.float64, len(counts)) + 1.0))
-    return np.maximum(idf, 0.0), told.where("ids is not null").select("ids").distinct()
+    # In order, so that sums of rounded numbers agree between runs.
+    passages = told.where("ids is not null").select("ids").distinct().sortWithinPartitions("ids")
+    return np.maximum(idf, 0.0), stored(passages)
+
+
+def _directions(rank: int = RANK) -> np.ndarray:
+    """Random orthonormal directions of features; their images tell the space."""
+    drawn = np.random.default_rng(SEED).standard_normal((FEATURES, rank + EXTRA)).astype(np.float32)
+    return np.linalg.qr(drawn)[0].astype(np.float32)
+
+
+def _add_by_feature(out: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the sums of all the features in ``flat`` that stand for it, as many for every row."""
+    flat = flat.astype(np.int64)
+    row = np.arange(len(flat)) // (len(flat) // len(rows))
+    often = np.flatnonzero(np.bincount(flat, minlength=len(out)) > OFTEN)
+    column = np.full(len(out), -1, np.int64)
+    column[often] = np.arange(len(often))
+    of = column[flat]
+    hit, rest = np.flatnonzero(of >= 0), np.flatnonzero(of < 0)
+    times = np.bincount(row[hit] * len(often) + of[hit], minlength=len(rows) * len(often))
+    out[often] += times.astype(np.float32).reshape(len(rows), -1).T @ rows
+    # The first place of every other feature, then the second, and so on: no feature stands twice in one sum.
+    rest = rest[np.argsort(flat[rest], kind="stable")]
+    firsts = np.flatnonzero(np.diff(flat[rest], prepend=-1))
+    counts = np.diff(np.r_[firsts, len(rest)])
+    for n in range(OFTEN):
+        firsts = firsts[counts > n]
+        counts = counts[counts > n]
+        at = rest[firsts + n]
+        out[flat[at]] += rows[row[at]]
 
 
 def _gram_times(passages: DataFrame, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A ``basis`` over the rows (ids, weight) of the TF-IDF matrix A, summed in slices of features."""
-    shared = passages.sparkSession.sparkContext.broadcast((basis, idf))
+    """A^T A ``basis`` over the rows of the TF-IDF matrix A of passages, summed in slices of features."""
+    context = passages.sparkSession.sparkContext
+    weights = np.append(idf, np.float32(0))
+    shared = context.broadcast((np.vstack([basis, np.zeros_like(basis[:1])]) * weights[:, None], weights))
     width = basis.shape[1]
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, weights = shared.value
-        out = np.zeros_like(q)
+        weighed, weights = shared.value
+        out, size = None, 2 * BLOCK_WORDS
         for batch in batches:
-            for ids, weight in zip(batch["ids"], batch["weight"], strict=True):
-                at, n = np.unique(np.asarray(ids, np.int64), return_counts=True)
-                v = n * weights[at]
-                norm = float(np.sqrt(v @ v))
-                if norm:
-                    v = (v * (weight / norm)).astype(np.float32)
-                    out[at] += np.outer(v, v @ q[at])
-        for s in range(0, FEATURES, SLICE):
-            yield pd.DataFrame({"slice": [s], "sums": [out[s : s + SLICE].tobytes()]})
-
-    def add(of: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.float32) for b in of["sums"])
-        return pd.DataFrame({"slice": of["slice"].iloc[:1], "sums": [total.tobytes()]})
+            every = np.frombuffer(b"".join(batch["ids"]), "<u2").reshape(-1, size)
+            out = np.zeros_like(weighed) if out is None else out
+            for at in range(0, len(every), CHUNK):
+                ids = every[at : at + CHUNK]
+                flat = ids.ravel()
+                fresh = np.ones(ids.shape, bool)
+                fresh[:, 1:] = ids[:, 1:] != ids[:, :-1]
+                starts = np.flatnonzero(fresh)
+                times = np.diff(np.r_[starts, len(flat)])
+                norms = np.bincount(starts // size, (times * weights[flat[starts]]) ** 2, len(ids))
+                image = weighed[ids[:, 0]]
+                for j in range(1, size):
+                    image += weighed[ids[:, j]]
+                image /= np.where(norms > 0, norms, np.inf).astype(np.float32)[:, None]
+                _add_by_feature(out, flat, image)
+        if out is not None:
+            out *= weights[:, None]
+            for s in range(0, FEATURES, SLICE):
+                yield pd.DataFrame({"slice": [s], "sums": [out[s : min(s + SLICE, FEATURES)].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, sums in zip(batch["slice"], batch["sums"], strict=True):
+                part = np.frombuffer(sums, np.float32).astype(np.float64)
+                totals[s] = totals[s] + part if s in totals else part
+        for s, total in totals.items():
+            yield pd.DataFrame({"slice": [s], "sums": [total.astype(np.float32).tobytes()]})
 
     schema = "slice int, sums binary"
-    rows = passages.mapInPandas(multiply, schema).groupBy("slice").applyInPandas(add, schema).collect()
-    out = np.zeros_like(basis)
+    # A task sends sums of all features, so there are no more tasks than run at a time.
+    sent = passages.coalesce(context.defaultParallelism).mapInPandas(multiply, schema)
+    rows = sent.repartition("slice").mapInPandas(add, schema).collect()
+    out = np.zeros(basis.shape)
     for r in rows:
         out[r["slice"] : r["slice"] + SLICE] = np.frombuffer(r["sums"], np.float32).reshape(-1, width)
     shared.unpersist()
     return out
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (features x rank) of the TF-IDF matrix, without the largest few, weighed by IDF.
+def _items_times(items: Iterable[np.ndarray], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A^T A ``basis`` over the rows of the TF-IDF matrix A of items."""
+    out = np.zeros(basis.shape)
+    for ids in items:
+        at, n = np.unique(ids, return_counts=True)
+        v = n * idf[at]
+        if norm := float(np.sqrt(v @ v)):
+            v = v / norm
+            out[at] += np.outer(v, v @ basis[at])
+    return out
 
-    Randomised range finding with one power step: two passes over the bounded table of passages.
+
+def latent_space(image: np.ndarray, basis: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors (features x rank) of the TF-IDF matrix A, without the largest few, weighed by IDF.
+
+    ``image`` is A^T A ``basis``. One pass over the rows of A gives it, and Nystrom's approximation the vectors.
     """
-    rng = np.random.default_rng(SEED)
-    basis = rng.standard_normal((FEATURES, rank + EXTRA)).astype(np.float32)
-    basis = np.linalg.qr(basis)[0].astype(np.float32)
-    basis = np.linalg.qr(_gram_times(passages, basis, idf))[0].astype(np.float32)
-    small = basis.T @ _gram_times(passages, basis, idf)
-    _, turn = np.linalg.eigh((small + small.T) / 2)
-    vectors = basis @ turn[:, ::-1][:, COMMON:rank]
+    core = basis.T.astype(np.float64) @ image
+    sizes, turn = np.linalg.eigh((core + core.T) / 2)
+    told = sizes > 1e-6 * sizes[-1]
+    root = np.where(told, 1 / np.sqrt(np.where(told, sizes, 1.0)), 0.0)
+    vectors = np.linalg.svd(image @ (turn * root), full_matrices=False)[0][:, COMMON:rank]
     return np.ascontiguousarray(idf[:, None] * vectors, np.float32)
 
 
@@ -520,23 +580,22 @@ class Index:
         return [list(b.values()) for b in best]
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str, most: int) -> Iterator[Index]:
+def _indexes(docs: DataFrame, benchmark: DataFrame, text: str, item_key: str, item_text: str) -> Iterator[Index]:
     """One index for each ``ITEMS_AT_ONCE`` items."""
-    idf, sample = _corpus(docs, text, most)
-    sample = stored(sample.coalesce(4))
+    idf, passages = _corpus(docs, text)
+    basis = _directions()
+    image = _gram_times(passages, basis, idf) * min(1.0, BALANCE / max(1, passages.count()))
     items = benchmark.select(own(item_key).alias("key"), own(item_text).alias("text"))
     groups = ceil(items.count() / ITEMS_AT_ONCE)
     for g in range(groups):
         chosen = items.where(F.pmod(F.xxhash64("key", "text"), F.lit(groups)) == g).collect()
         held = sorted((item_of(r["key"], r["text"], idf) for r in chosen), key=lambda i: (i.words, str(i.key)))
         held = [i for i in held if i.words]
-        spark = docs.sparkSession
-        own_rows = [(features_of(b" ".join(i.words))[0].tolist(), ITEM_WEIGHT) for i in held]
-        rows = spark.createDataFrame(own_rows, "ids array<int>, weight double").coalesce(1)
-        space = latent_space(sample.withColumn("weight", F.lit(1.0)).unionByName(rows), idf)
+        own_rows = [features_of(b" ".join(i.words))[0] for i in held]
+        space = latent_space(image + ITEM_WEIGHT**2 * _items_times(own_rows, basis, idf), basis, idf)
         projection = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
         vectors = np.zeros((len(held), projection.shape[1]), np.float32)
-        for k, (ids, _) in enumerate(own_rows):
+        for k, ids in enumerate(own_rows):
             v = projection[ids].sum(axis=0)
             vectors[k] = v / (np.sqrt(v @ v) + 1e-9)
         yield Index(projection, vectors, tuple(held), idf)
@@ -564,7 +623,6 @@ def leaks(
     text: str = "text",
     item_key: str = "item_id",
     item_text: str = "text",
-    most_sampled: int = MOST_SAMPLED,
 ) -> DataFrame:
     """One row per row of ``docs`` and benchmark item found in it: the columns of ``docs``, the item's key, ``cosine``,
     ``common_share``, ``answer_share``, ``first_word`` and ``words`` of the place found.
@@ -577,7 +635,7 @@ def leaks(
     added = [item_key, "cosine", "common_share", "answer_share", "first_word", "words"]
     columns = carried(docs, added)
     out = None
-    for index in _indexes(docs, benchmark, text, item_key, item_text, most_sampled):
+    for index in _indexes(docs, benchmark, text, item_key, item_text):
         read = docs.select(packed(docs, columns).alias("row"), _told(own(text), index, docs).alias("found"))
         hits = read.where(F.size("found") > 0).select("row", F.inline("found"))
         spark = docs.sparkSession
@@ -603,7 +661,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options)
     """The rows of ``docs`` in which no benchmark item is found, with their columns."""
     item_key, item_text = options.get("item_key", "item_id"), options.get("item_text", "text")
     out = docs
-    for index in _indexes(docs, benchmark, text, item_key, item_text, options.get("most_sampled", MOST_SAMPLED)):
+    for index in _indexes(docs, benchmark, text, item_key, item_text):
         row = out.select(packed(docs, docs.columns).alias("row"), _told(own(text), index, docs).alias("found"))
         out = row.where(F.size("found") == 0).select(*unpacked(docs.columns))
     return out

@@ -125,3 +125,23 @@ def test_items_outside_the_latent_space():
     index = d.Index(np.zeros((d.FEATURES + 1, 4), np.float32), np.zeros((len(items), 4), np.float32), tuple(items), idf)
     found = {(t, i) for t, f in enumerate(index.leaks(texts)) for i, *_ in f}
     assert len(want) > 500 and len(want & found) == len(want)
+
+
+def test_space_comes_from_all_passages(spark):
+    """The space is that of a dense decomposition of every passage of every text; copies of a passage count once."""
+    rng = random.Random(11)
+    pool = [f"w{int(30 * rng.paretovariate(0.9))}" for _ in range(4_000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(n)) for n in [32 * 20, 32 * 30 - 5, 32 * 12 + 20, 7] + [90]]
+    items = [" ".join(rng.choice(pool) for _ in range(n)) for n in (12, 80)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None, ""])), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    index = next(d._indexes(docs.repartition(3), bench, "text", "item_id", "text"))
+    parts = [w[i : i + 32] for t in texts for w in [t.split()] for i in range(0, len(w), 32)]
+    assert d.RANK < len(parts) + len(items) <= d.RANK + d.EXTRA
+    rows = []
+    for words, weight in [(p, 1.0) for p in parts] + [(i.split(), d.ITEM_WEIGHT) for i in items]:
+        v = np.bincount(d.features_of(" ".join(words).encode())[0], minlength=d.FEATURES) * index.idf
+        rows.append(weight * v / np.sqrt(v @ v))
+    vectors = np.linalg.svd(np.array(rows), full_matrices=False)[2][d.COMMON : d.RANK].T * index.idf[:, None]
+    used = np.unique(np.nonzero(rows)[1])
+    assert np.allclose(index.projection[used] @ index.projection[used].T, vectors[used] @ vectors[used].T, atol=2e-3)
